@@ -59,7 +59,7 @@ AUTOGENERATED = [
 ]
 FILE_PARTS = ["migrations/", "/tests/", "/test_", "setup.py", "conftest.py", "__init__.py", "__main__.py", "manage.py", "wsgi.py", "asgi.py", "celery.py", "admin.py", "apps.py", "urls.py", "conf.py"]
 FILE_GLOBS = ["*/migrations/*", "*/tests/*", "*/test/*", "*/django/*", "*/plotly/*", "*/flask*", "*/setup.py", "*/conftest.py"]
-POISON = ["migrations.RunPython", "models.CharField(", "admin.site.register", "BaseValidator", "@app.route(", "from __future__ import", "xrange(", "unittest.TestCase", "def test_", "Copyright (c)"]
+POISON = ["class Migration(migrations.Migration)", "migrations.RunPython", "models.CharField(", "_plotly_utils.basevalidators", "plotly_name=", "# -*- coding:", "from __future__ import", "unittest.TestCase", "pytest.mark.", "from setuptools import"]
 PAIR_CONFIG = ["extensions = [", "master_doc =", "html_theme =", "pygments_style =", "from setuptools import", "install_requires=[", "entry_points={", "package_data={", "setup(name="]
 PAIR_TESTS = ["import unittest", "from unittest import", "import pytest", "from pytest import", "unittest.TestCase", "pytest.mark.", "pytest.fixture", "pytest.raises"]
 SPECIAL_TOKENS = ["<s>", "</s>", "<unk>", "<pad>", "<eos>"]
