@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.rules import LICENCE_WORDS, STOPS
+from weftline.functions.rules import LICENCE_WORDS, LOGIC, PAIR_LOGIC, STOPS
 
 WS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 META_TAG = r"<(?:gh_stars|reponame|filename)>"
@@ -180,54 +180,82 @@ def unstable(c: Column) -> Column:
     return c.rlike(UNSTABLE) & ~c.rlike(SEED)
 
 
-def quality_reason(c: Column) -> Column:
-    """First quality rule that a source file breaks, else null."""
-    code, all_lines = code_lines(c), lines(c)
-    bare = F.transform(code, strip)
-    total, n = F.size(all_lines), F.size(code)
-
-    def count(check) -> Column:  # noqa: ANN001
-        return F.size(F.filter(bare, check))
-
-    imports = count(lambda x: F.startswith(x, F.lit("import ")) | F.startswith(x, F.lit("from ")))
-    classes = count(lambda x: F.startswith(x, F.lit("class ")) | F.startswith(x, F.lit("@")))
-    comments = F.size(F.filter(all_lines, lambda x: F.startswith(strip(x), F.lit("#"))))
-    bodiless = F.exists(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.startswith(F.element_at(bare, i), F.lit("def "))
-        & ~F.contains(F.element_at(code, i), F.lit("raise NotImplementedError"))
-        & ~F.exists(F.slice(bare, i + 1, F.lit(4)), lambda b: (b != "pass") & ~F.startswith(b, F.lit('"""'))),
-    )
-    has_def = F.exists(bare, lambda x: F.startswith(x, F.lit("def ")))
-    logic = F.size(F.filter(code, lambda x: F.rlike(x, F.lit(r"=|if |for |while |return |print\(|yield "))))
-    repeated = F.exists(
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body(value)`` with the value computed once: an expression inside a lambda would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _measure(c: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of the code lines, the same stripped, their number, and the numbers of all lines and of comments."""
+
+    def inner(all_lines: Column) -> Column:
+        code = F.filter(all_lines, lambda x: (strip(x) != "") & ~F.startswith(strip(x), F.lit("#")))
+        comments = F.size(F.filter(all_lines, lambda x: F.startswith(strip(x), F.lit("#"))))
+        return _let(
+            F.struct(code.alias("code"), F.transform(code, strip).alias("bare"), F.size(code).alias("n"), F.size(all_lines).alias("total"), comments.alias("comments")),
+            lambda m: body(m["code"], m["bare"], m["n"], m["total"], m["comments"]),
+        )
+
+    return F.when(c.isNotNull(), _let(lines(c), inner))
+
+
+def _count(bare: Column, *heads: str) -> Column:
+    def check(x: Column) -> Column:
+        found = F.lit(False)
+        for head in heads:
+            found = found | F.startswith(x, F.lit(head))
+        return found
+
+    return F.size(F.filter(bare, check))
+
+
+def _repeated(bare: Column, n: Column) -> Column:
+    """Whether four lines in a row are equal."""
+    return F.exists(
         F.sequence(F.lit(4), F.greatest(n, F.lit(4))),
         lambda i: (i <= n) & (F.try_element_at(bare, i) == F.try_element_at(bare, i - 1)) & (F.try_element_at(bare, i) == F.try_element_at(bare, i - 2)) & (F.try_element_at(bare, i) == F.try_element_at(bare, i - 3)),
     )
-    width = F.aggregate(code, F.lit(0), lambda a, x: a + F.length(x))
-    return (
-        F.when(total < 2, "L5_too_few_lines").when(n < 2, "L5_effective_lines").when(imports > 0.6 * n, "L5_import_ratio").when(classes > 0.7 * n, "L5_class_ratio")
-        .when(comments > 0.8 * total, "L5_comment_ratio").when(bodiless, "L5_def_without_body").when(~has_def & (logic < 2), "L5_no_def_no_logic").when(repeated, "L5_repeated_lines").when(width < 8 * n, "L5_short_lines")
-    )
+
+
+def _any_of(x: Column, literals: list[str]) -> Column:
+    found = F.lit(False)
+    for literal in literals:
+        found = found | F.contains(x, F.lit(literal))
+    return found
+
+
+def quality_reason(c: Column) -> Column:
+    """First quality rule that a source file breaks, else null."""
+
+    def judge(code: Column, bare: Column, n: Column, total: Column, comments: Column) -> Column:
+        bodiless = F.exists(
+            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+            lambda i: F.startswith(F.try_element_at(bare, i), F.lit("def "))
+            & ~F.contains(F.try_element_at(code, i), F.lit("raise NotImplementedError"))
+            & ~F.exists(F.slice(bare, i + 1, F.lit(4)), lambda b: (b != "pass") & ~F.startswith(b, F.lit('"""'))),
+        )
+        logic = F.size(F.filter(code, lambda x: _any_of(x, LOGIC)))
+        width = F.aggregate(code, F.lit(0), lambda a, x: a + F.length(x))
+        return (
+            F.when(total < 2, "L5_too_few_lines").when(n < 2, "L5_effective_lines").when(_count(bare, "import ", "from ") > 0.6 * n, "L5_import_ratio")
+            .when(_count(bare, "class ", "@") > 0.7 * n, "L5_class_ratio").when(comments > 0.8 * total, "L5_comment_ratio").when(bodiless, "L5_def_without_body")
+            .when((_count(bare, "def ") == 0) & (logic < 2), "L5_no_def_no_logic").when(_repeated(bare, n), "L5_repeated_lines").when(width < 8 * n, "L5_short_lines")
+        )
+
+    return _measure(c, judge)
 
 
 def body_reason(c: Column) -> Column:
     """First quality rule that a function body breaks, else null."""
-    code, all_lines = code_lines(c), lines(c)
-    bare = F.transform(code, strip)
-    total, n = F.size(all_lines), F.size(code)
-    imports = F.size(F.filter(bare, lambda x: F.startswith(x, F.lit("import ")) | F.startswith(x, F.lit("from "))))
-    classes = F.size(F.filter(bare, lambda x: F.startswith(x, F.lit("class ")) | F.startswith(x, F.lit("@"))))
-    comments = F.size(F.filter(all_lines, lambda x: F.startswith(strip(x), F.lit("#"))))
-    logic = F.exists(code, lambda x: F.rlike(x, F.lit(r"=|if |for |while |return |print\(|yield |raise |assert ")))
-    repeated = F.exists(
-        F.sequence(F.lit(4), F.greatest(n, F.lit(4))),
-        lambda i: (i <= n) & (F.try_element_at(bare, i) == F.try_element_at(bare, i - 1)) & (F.try_element_at(bare, i) == F.try_element_at(bare, i - 2)) & (F.try_element_at(bare, i) == F.try_element_at(bare, i - 3)),
-    )
-    return (
-        F.when(total < 2, "L5_too_few_lines").when(n < 2, "L5_effective_lines").when(imports > 0.6 * n, "L5_import_ratio").when(classes > 0.7 * n, "L5_class_ratio")
-        .when(comments > 0.8 * total, "L5_comment_ratio").when(repeated, "L5_repeated_lines").when(~logic, "L5_no_logic")
-    )
+
+    def judge(code: Column, bare: Column, n: Column, total: Column, comments: Column) -> Column:
+        return (
+            F.when(total < 2, "L5_too_few_lines").when(n < 2, "L5_effective_lines").when(_count(bare, "import ", "from ") > 0.6 * n, "L5_import_ratio")
+            .when(_count(bare, "class ", "@") > 0.7 * n, "L5_class_ratio").when(comments > 0.8 * total, "L5_comment_ratio").when(_repeated(bare, n), "L5_repeated_lines")
+            .when(~F.exists(code, lambda x: _any_of(x, PAIR_LOGIC)), "L5_no_logic")
+        )
+
+    return _measure(c, judge)
 
 
 # Arrow UDFs
