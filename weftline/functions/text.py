@@ -180,7 +180,7 @@ def unstable(c: Column) -> Column:
     return c.rlike(UNSTABLE) & ~c.rlike(SEED)
 
 
-def _let(value: Column, body) -> Column:  # noqa: ANN001
+def let(value: Column, body) -> Column:  # noqa: ANN001
     """``body(value)`` with the value computed once: an expression inside a lambda would be computed for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -188,15 +188,16 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
 def _measure(c: Column, body) -> Column:  # noqa: ANN001
     """``body`` of the code lines, the same stripped, their number, and the numbers of all lines and of comments."""
 
-    def inner(all_lines: Column) -> Column:
-        code = F.filter(all_lines, lambda x: (strip(x) != "") & ~F.startswith(strip(x), F.lit("#")))
-        comments = F.size(F.filter(all_lines, lambda x: F.startswith(strip(x), F.lit("#"))))
-        return _let(
-            F.struct(code.alias("code"), F.transform(code, strip).alias("bare"), F.size(code).alias("n"), F.size(all_lines).alias("total"), comments.alias("comments")),
-            lambda m: body(m["code"], m["bare"], m["n"], m["total"], m["comments"]),
+    def inner(rows: Column) -> Column:
+        kept = F.filter(rows, lambda r: (r["b"] != "") & ~F.startswith(r["b"], F.lit("#")))
+        comments = F.size(F.filter(rows, lambda r: F.startswith(r["b"], F.lit("#"))))
+        return let(
+            F.struct(kept.alias("kept"), F.size(kept).alias("n"), F.size(rows).alias("total"), comments.alias("comments")),
+            lambda m: let(F.struct(m["kept"]["l"].alias("code"), m["kept"]["b"].alias("bare")), lambda k: body(k["code"], k["bare"], m["n"], m["total"], m["comments"])),
         )
 
-    return F.when(c.isNotNull(), _let(lines(c), inner))
+    stripped = F.transform(lines(c), lambda x: F.struct(x.alias("l"), strip(x).alias("b")))
+    return F.when(c.isNotNull(), let(stripped, inner))
 
 
 def _count(bare: Column, *heads: str) -> Column:
