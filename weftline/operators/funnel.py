@@ -38,7 +38,8 @@ def verdicts(df: DataFrame, path: str = "path", body: str = "text", scrub: bool
     A row without a text has the reason its path gives, else too_short. There is no shuffle: the verdict is a
     projection, and the scrub reaches Python for texts with a shebang or a licence word that passed so far.
     """
-    first = df.withColumn("_first", first_stage(F.col(path), F.col(body)))
+    found = text.let(F.struct(F.col(path).alias("p"), F.col(body).alias("b")), lambda r: first_stage(r["p"], r["b"]))
+    first = df.withColumn("_first", found)
     clean = text.strip_copyright(F.when(F.col("_first").isNull(), F.col(body))) if scrub else F.col(body)
     cleaned = first.withColumn("clean", F.coalesce(clean, F.col(body)))
     # inside a lambda the optimizer leaves the rules whole; a filter on the reason would unfold them branch by branch

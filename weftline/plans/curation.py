@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import rules, text
 from weftline.operators import dedup, funnel, order, splits
 from weftline.plans.catalog import query
-from weftline.session import table
+from weftline.session import table, texts
 
 _WS = rules.quoted(text.WS)
 _QUALITY = f"""
@@ -61,12 +61,12 @@ FROM judged GROUP BY 1
 """
 )
 def f_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    return funnel.counts(funnel.verdicts(table(spark, folder, "documents"), scrub=False))
+    return funnel.counts(funnel.verdicts(texts(spark, folder), scrub=False))
 
 
 @query()
 def f_funnel_scrubbed(spark: SparkSession, folder: str) -> DataFrame:
-    judged = funnel.verdicts(table(spark, folder, "documents"))
+    judged = funnel.verdicts(texts(spark, folder))
     return judged.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("was_stripped").cast("long")).alias("n_stripped"))
 
 
@@ -79,7 +79,7 @@ FROM documents GROUP BY 1
 def f_layer_reasons(spark: SparkSession, folder: str) -> DataFrame:
     body = F.col("text")
     found = F.coalesce(*[rules.first_reason(body, rules.CORPUS_LAYERS[k]) for k in ("L1", "L2", "L3", "L4")], rules.autogenerated_reason(body), F.lit("none"))
-    return table(spark, folder, "documents").groupBy(found.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return texts(spark, folder).groupBy(found.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _layer_query(name: str, layer: str) -> None:
@@ -97,7 +97,7 @@ for _name, _layer in (("f_L1", "L1"), ("f_L2", "L2"), ("f_L3", "L3"), ("f_L4", "
 
 @query(f"WITH {_QUALITY.format(source='documents')} SELECT doc_id, coalesce(quality, 'ok') AS reason FROM judged WHERE text IS NOT NULL")
 def f_L5(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.coalesce(text.quality_reason(F.col("text")), F.lit("ok")).alias("reason"))
+    return texts(spark, folder).where("text is not null").select("doc_id", F.coalesce(text.quality_reason(F.col("text")), F.lit("ok")).alias("reason"))
 
 
 @query(f"SELECT doc_id, {rules.autogenerated_sql('text')} AS reason FROM documents WHERE {rules.autogenerated_sql('text')} IS NOT NULL")
@@ -161,13 +161,13 @@ def f_max_accept(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def s_strip_copyright(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("text is not null")
+    docs = texts(spark, folder).where("text is not null")
     return docs.select("doc_id", text.strip_copyright(F.col("text")).alias("clean")).withColumn("n_chars", F.length("clean"))
 
 
 @query()
 def s_strip_header(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("text is not null")
+    docs = texts(spark, folder).where("text is not null")
     return docs.select("doc_id", text.strip_header(F.col("text")).alias("clean")).withColumn("n_chars", F.length("clean"))
 
 
@@ -203,7 +203,7 @@ def s_effective_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def s_split_signature(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where(F.endswith("path", F.lit(".py")) & F.contains("text", F.lit("def ")))
+    docs = texts(spark, folder).where(F.endswith("path", F.lit(".py")) & F.contains("text", F.lit("def ")))
     return docs.select("doc_id", "source", F.inline(text.function_pairs(F.col("text"))))
 
 

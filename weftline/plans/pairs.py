@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import rules, text
 from weftline.operators import joins
 from weftline.plans.catalog import query
-from weftline.session import table
+from weftline.session import table, texts
 
 _WS = rules.quoted(text.WS)
 _FENCE = r"'```[ \t]*([A-Za-z0-9_+.\-]*)[ \t]*\n((?s:.*?))(?:\n[ \t]*```|\z)'"
@@ -57,7 +57,7 @@ def s_extract_nl_heldout(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def s_normalize_code(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "candidates").select("id", "k_index", text.normalize_code(F.col("completion")).alias("code"))
+    return texts(spark, folder, "candidates").select("id", "k_index", text.normalize_code(F.col("completion")).alias("code"))
 
 
 @query("SELECT DISTINCT id, '### Task' || chr(10) || prompt || chr(10) || chr(10) || '### Code' || chr(10) AS prompt FROM problems WHERE prompt IS NOT NULL")
@@ -177,7 +177,7 @@ def g_text_present(spark: SparkSession, folder: str) -> DataFrame:
     c = text.unix_lines(F.col("text"))
     early = F.when(text.blank(c), "no_text").when(F.contains(c, F.lit("�")), "bad_char").when(F.length(c) > 100_000, "too_long").when(~F.contains(c, F.lit("def ")), "no_function")
     parsed = text.compiles(F.when(early.isNull(), c))
-    return table(spark, folder, "documents").select("doc_id", F.coalesce(early, F.when(parsed, "ok").otherwise("syntax_error")).alias("reason"))
+    return texts(spark, folder).select("doc_id", F.coalesce(early, F.when(parsed, "ok").otherwise("syntax_error")).alias("reason"))
 
 
 @query(
@@ -252,7 +252,7 @@ def g_all_tests_passed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def g_compile(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "candidates").where("completion is not null").select("id", "k_index", text.compiles(text.extract_code(F.col("completion"))).alias("parses"))
+    return texts(spark, folder, "candidates").where("completion is not null").select("id", "k_index", text.compiles(text.extract_code(F.col("completion"))).alias("parses"))
 
 
 @query("SELECT pair_id, loaded_at FROM prompt_solution WHERE length(prompt) <= 512 AND length(solution) <= 768 AND length(prompt) + length(solution) <= 1024")

@@ -67,3 +67,18 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Scan of one input table, a file or a folder of files."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than that, else as it is.
+
+    A large input has more splits than cores and is left alone; a small one that lies in a
+    single file would keep a text-heavy projection on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """Scan of a table of texts, spread for work that is heavy on each row."""
+    return spread(table(spark, folder, name))
