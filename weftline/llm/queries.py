@@ -8,42 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import credentials, handwritten, leaks, near, packing, subjects, tokens
-from weftline.session import table
+from weftline.session import table, texts
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the evaluation items they leak."""
-    return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "heldout_problems")).select("doc_id", "item_id")
+    return leaks.leaked(texts(spark, folder), table(spark, folder, "heldout_problems")).select("doc_id", "item_id")
 
 
 def p1_by_item(spark: SparkSession, folder: str) -> DataFrame:
     """For each evaluation item that leaked: how many documents have it, and the most lines in a row of it."""
-    found = leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "heldout_problems"))
+    found = leaks.leaked(texts(spark, folder), table(spark, folder, "heldout_problems"))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("lines").alias("most_lines"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Credentials written out in documents."""
-    return credentials.found(table(spark, folder, "documents"))
+    return credentials.found(texts(spark, folder))
 
 
 def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their credentials replaced."""
-    return credentials.redacted(table(spark, folder, "documents"))
+    return credentials.redacted(texts(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Files that are generated, minified, copied or data."""
-    return handwritten.found(table(spark, folder, "documents"))
+    return handwritten.found(texts(spark, folder))
 
 
 def p3_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """The same files with what they are."""
-    return handwritten.kinds(table(spark, folder, "documents"))
+    return handwritten.kinds(texts(spark, folder))
 
 
 def _similar(spark: SparkSession, folder: str) -> near.Similar:
-    return near.Similar(near.record_sets(table(spark, folder, "documents"), table(spark, folder, "prompt_solution")))
+    return near.Similar(near.record_sets(texts(spark, folder), table(spark, folder, "prompt_solution")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,22 +58,22 @@ def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return tokens.with_ids(table(spark, folder, "documents"))
+    return tokens.with_ids(texts(spark, folder))
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Containers of every document, for each profile."""
-    return packing.containers(table(spark, folder, "documents"), table(spark, folder, "pack_profiles"))
+    return packing.containers(texts(spark, folder), table(spark, folder, "pack_profiles"))
 
 
 def p6_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Containers used for each profile against the least that the tokens could need."""
     profiles = table(spark, folder, "pack_profiles")
-    return packing.summary(packing.containers(table(spark, folder, "documents"), profiles), profiles)
+    return packing.summary(packing.containers(texts(spark, folder), profiles), profiles)
 
 
 def _areas(spark: SparkSession, folder: str) -> DataFrame:
-    return subjects.subject_areas(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subjects"))
+    return subjects.subject_areas(texts(spark, folder), table(spark, folder, "subject_labels"), table(spark, folder, "subjects"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
