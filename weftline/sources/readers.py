@@ -101,7 +101,7 @@ def numbered_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") ->
 
     A file is one row of the scan, so this is for logs and evaluation files, not for corpora.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     kept = files.where(~F.element_at(F.split("file", "/"), -1).startswith("_"))
     lines = kept.select("file", F.posexplode(F.split("value", "\n")).alias("at", "line"))
     return lines.where("line <> ''").select("file", (F.col("at") + 1).alias("line_no"), "line")
