@@ -107,33 +107,46 @@ def _greedy(sizes: np.ndarray, rest: np.ndarray, capacity: int) -> list[tuple[di
         runs.append((inside, times))
 
 
-def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int | None = None) -> pd.DataFrame:
-    """Runs of equal containers that hold exactly ``counts[k]`` items of ``sizes[k]``.
-
-    One row for each run and size in it: ``size``, ``low`` and ``high`` (the ranks within
-    the size that go to this run), ``base`` (the run's first container), ``each`` (items of
-    this size in each of its containers).
-    """
-    order = np.argsort(sizes)
-    sizes, counts = np.asarray(sizes, np.int64)[order], np.asarray(counts, np.int64)[order]
+def _runs(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int, rounds: int = 4) -> list[tuple[dict[int, int], int]]:
+    """Runs of equal containers: least squares and rounding down, again on what is left while that helps, then greedily."""
     rest = counts.copy()
-    window = max(1, capacity // 128) if window is None else window
     runs: list[tuple[dict[int, int], int]] = []
-    place = {int(s): k for k, s in enumerate(sizes)}
-    patterns = combinations(sizes, counts, capacity, window)
-    if patterns:
-        wanted = solve(sizes, counts.astype(float), patterns)
+    for _ in range(rounds):
+        present = np.flatnonzero(rest)
+        place = {int(sizes[k]): int(k) for k in present}
+        patterns = combinations(sizes[present], rest[present], capacity, window)
+        if not patterns:
+            break
+        wanted = solve(sizes[present], rest[present].astype(float), patterns)
+        placed = 0
         for k in np.argsort(-wanted, kind="stable"):
             inside: dict[int, int] = {}
             for s in patterns[k]:
                 inside[place[s]] = inside.get(place[s], 0) + 1
-            times = min(int(wanted[k]), *(int(rest[s]) // n for s, n in inside.items()))
+            times = min(int(wanted[k] + 0.25), *(int(rest[s]) // n for s, n in inside.items()))
             if times < 1:
                 continue
             for s, n in inside.items():
                 rest[s] -= n * times
             runs.append((inside, times))
-    runs += _greedy(sizes, rest, capacity)
+            placed += times
+        if placed < 0.02 * rest.sum():
+            break
+    return runs + _greedy(sizes, rest, capacity)
+
+
+def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int | None = None) -> pd.DataFrame:
+    """Runs of equal containers that hold exactly ``counts[k]`` items of ``sizes[k]``.
+
+    One row for each run and size in it: ``size``, ``low`` and ``high`` (the ranks within
+    the size that go to this run), ``base`` (the run's first container), ``each`` (items of
+    this size in each of its containers). Without a ``window`` a few are tried, with one
+    round of least squares and with several, and what takes the fewest containers counts.
+    """
+    order = np.argsort(sizes)
+    sizes, counts = np.asarray(sizes, np.int64)[order], np.asarray(counts, np.int64)[order]
+    windows = sorted({0, capacity // 1024, capacity // 512, capacity // 128}) if window is None else [window]
+    runs = min((_runs(sizes, counts, capacity, w, rounds) for w in windows for rounds in (1, 4)), key=lambda found: sum(times for _, times in found))
     used = np.zeros(len(sizes), np.int64)
     base, rows = 0, []
     for inside, times in runs:

@@ -93,6 +93,8 @@ class Model:
         return self.telling[:, words] @ counts / total if total > 0 else np.full(len(self.subjects), 1 / len(self.subjects))
 
     def probabilities(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if not len(words) or not float(self.tells[words] @ counts) > 0:
+            return np.full(len(self.subjects), 0.1 / len(self.subjects))  # nothing tells: none is likely, the first stands in
         return 1 / (1 + np.exp(-(self.slope * self.shares(words, counts) + self.offset)))
 
 
