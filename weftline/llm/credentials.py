@@ -66,7 +66,8 @@ _SCHEME = re.compile(r"(?i)\b(?P<scheme>basic|bearer|token|apikey|digest)(?:[ \t
 _QUERY = re.compile(r"(?i)[?&](?P<name>[a-z_\-]*(?:key|token|secret|password|passwd|pwd|sig|signature|auth|pass))=(?P<value>[^\s&\"'`#<>]{6,400})")
 _HEADER = re.compile(r"(?i)\b(?P<name>[a-z\-]*(?:api-?key|token|secret|password|auth)[a-z\-]*)[\"'`]?[ \t]*:[ \t]*[\"'`]?(?P<value>[A-Za-z0-9+/=_.~\-]{8,400})")
 _USER_PASS = re.compile(r"(?:(?<!\S)-u|--user|--userpwd|--login)[ =][\"'`]?[^\s:\"'`]{1,80}:(?P<value>[^\s\"'`]{4,200})")
-_OPTION = re.compile(r"(?i)--?(?P<name>[a-z\-]*(?:password|passwd|passphrase|token|secret|api-?key|pass|pwd))[ =][\"'`]?(?P<value>[^\s\"'`]{6,300})")
+_OPTION = re.compile(r"(?i)(?<![\w\-])--?(?P<name>[a-z][a-z\-_]{1,40})[\"'`]?(?:[ =][\"'`]?|,[ \t]*[\"'`])(?P<value>[^\s\"'`,\]=]{6,300}={0,2})(?![\w(])")
+_HMAC = re.compile(r"(?i)hmac(?:\.new)?\([ \t]*(?:[\"'`]sha\d+[\"'`][ \t]*,[ \t]*)?[bB]?(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,200})(?P=t)")
 _CALL = re.compile(r"(?P<name>[\w.]+)\([ \t]*[uUbB]?(?P<s>[\"'`])[^\"'`\n]{1,80}(?P=s)[ \t]*,[ \t]*[uUbB]?(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,200})(?P=t)")
 #: Prose that hands a login on: a verb, whose login it is, and the value.
 _LOGIN = re.compile(r"(?i)\b(?:login|log in|logs in|logged in|sign in|signs in|signed in|rotate me|before changing)\b[^\n\"'`]{0,60}?(?:[ \t](?:is|was|with|/|->|=>|=|:|\|)[ \t]+|: ?|/ |(?<=changing) )[\"'`]?(?P<value>[^\s\"'`<>,;]{6,300})")
@@ -133,15 +134,18 @@ def names_secret(name: str) -> int:
         return 0
     plain = "_".join(parts)
     last = parts[-1] if not parts[-1].isdigit() else parts[-2] if len(parts) > 1 else ""
-    if last in _OTHER or last in _HASHES:
+    strong = any(p in _STRONG or p.endswith(_ENDS) for p in parts)
+    if last in _HASHES:
         return -1
+    if last in _OTHER:
+        return 1 if strong and len(parts) > 2 else -1
     if any(p in plain for p in ("_".join(x.split()) for x in _PHRASES)):
         return 2
     if last in _STRONG or last.endswith(_ENDS) or (len(parts) > 1 and parts[-2] in _STRONG and len(last) <= 3):
         return 2
     if last in _KEYS and (len(parts) > 1 and parts[-2] in _KEY_OF):
         return 2
-    if any(p in _STRONG or p.endswith(_ENDS) for p in parts) or any(a in _KEY_OF and b in _KEYS for a, b in zip(parts, parts[1:], strict=False)):
+    if strong or any(a in _KEY_OF and b in _KEYS for a, b in zip(parts, parts[1:], strict=False)):
         return 2
     if last in _KEYS or last in ("dsn", "session", "cookie", "jwt", "login", "user"):
         return 1
@@ -192,9 +196,10 @@ def _trim(value: str) -> str:
 # Pieces of text without which no rule but that for long tokens applies.
 _TRIGGERS = (
     "pass", "pwd", "pw", "secret", "token", "key", "cle", "clé", "clave", "kennwort", "contrase", "senha", "heslo", "haslo", "hasło", "wachtwoord", "parol", "senord", "lösenord", "salasana", "jelszo", "adgangskode", "jeton", "geheim", "llave", "schl",
-    "auth", "login", "log in", "logs in", "logged in", "sign in", "signs in", "signed in", "cred", "bearer", "basic", "://", "-u ", "--user", "dsn", "mdp", "zugang", "acces", "accès", "inloggen", "anmeldung", "connexion", "connect", "rotate me", "before changing", "== '", '== "', "compare_digest", "'-p'", '"-p"', "environ", "getenv", "jwt", "cookie", "session",
+    "auth", "login", "log in", "logs in", "logged in", "sign in", "signs in", "signed in", "cred", "bearer", "basic", "://", "-u ", "--user", "dsn", "mdp", "zugang", "acces", "accès", "inloggen", "anmeldung", "connexion", "connect", "rotate me", "before changing", "== '", '== "', "compare_digest", "'-p'", '"-p"', "environ", "getenv", "hmac", "jwt", "cookie", "session",
 )
 _LONGISH = re.compile(r"(?<![A-Za-z0-9+/_\-.~%])(?=[A-Za-z+/_\-.]*\d)[A-Za-z0-9][A-Za-z0-9+/_\-.]{15,}")
+_TWO = re.compile(r"\((?P<s>[\"'])[^\"'\n]{1,60}(?P=s), ?[\"'](?=[^\"'\n]*\d)[^\"'\n ]{8,200}[\"']\)")
 _LONELY = re.compile(r"(?m)^[ \t]*(?:#+|//+|;+|>|\*|--)?[ \t]*[A-Za-z][\w.\-]{2,40}:[^\s\"'`<>,;:]{8,200}[ \t]*$")
 
 
@@ -216,6 +221,8 @@ def _segments(text: str, before: int = 240, after: int = 480) -> list[tuple[int,
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     places = [end for end, _ in _triggers().iter(low)]
     places += [m.start() for m in _LONGISH.finditer(text)]
+    if "(" in text:
+        places += [m.start() for m in _TWO.finditer(text)]
     if ":" in text:
         places += [m.start() for m in _LONELY.finditer(text)]
     places.sort()
@@ -274,12 +281,17 @@ def secrets(text: str) -> list[tuple[int, int]]:
             spans.append((start, end))
 
     for low, high in segments:
-        for m in _NAMED.finditer(text, low, high):
+        found = list(_NAMED.finditer(text, low, high))
+        for m in found:
             says = names_secret(m["name"])
             if says == -1:
                 continue
             group = "quoted" if m["quoted"] else "bare"
             value = m[group]
+            if group == "quoted" and says == 0 and ("=" in value or ":" in value):
+                found += _NAMED.finditer(text, *m.span(group))  # a name and a value within the string
+            if group == "bare" and text[m.end() : m.end() + 1] in ("(", "["):
+                continue
             lead = _LEAD.match(value)
             if says == 2 or lead:
                 add(m, 2, group, lead.end() if lead else 0)
@@ -295,7 +307,8 @@ def secrets(text: str) -> list[tuple[int, int]]:
             for m in _USER_PASS.finditer(text, low, high):
                 add(m, 3)
             for m in _OPTION.finditer(text, low, high):
-                add(m, 2)
+                if names_secret(m["name"]) == 2:
+                    add(m, 2)
             for m in _FLAG.finditer(text, low, high):
                 add(m, 2)
         if "basic" in part or "bearer" in part or "token" in part or "digest" in part:
@@ -308,9 +321,13 @@ def secrets(text: str) -> list[tuple[int, int]]:
                     add(m, 2)
             for m in _COLON.finditer(text, low, high):
                 add(m, 2 if _HEX.fullmatch(m["value"]) and len(m["value"]) >= 32 else 1)
+        if "hmac" in part:
+            for m in _HMAC.finditer(text, low, high):
+                add(m, 2)
         if "(" in part:
             for m in _CALL.finditer(text, low, high):
-                known = {"auth", "login", "connect", "signin", "authenticate", "credentials", "basicauth", "httpbasicauth", "logon"} & set(name_parts(m["name"]))
+                opens = "open" in name_parts(m["name"]) and _HEX.fullmatch(m["value"])
+                known = opens or {"auth", "login", "connect", "signin", "authenticate", "credentials", "basicauth", "httpbasicauth", "logon"} & set(name_parts(m["name"]))
                 add(m, 2 if known else 1)
             for m in _PUT.finditer(text, low, high):
                 if names_secret(m["name"]) == 2:
