@@ -34,7 +34,7 @@ HOT_BLOCK = 64
 #: Members of two classes (or one) whose pairs are all written out; larger ones are tied to their first member.
 EXPAND = 256
 #: Ids that may be sent to every executor, 8 bytes each.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 _RNG = np.random.default_rng(20_011)
