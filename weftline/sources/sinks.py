@@ -87,6 +87,43 @@ def read_token_file(spark: SparkSession, folder: str, chunk: int) -> DataFrame:
     return files.mapInPandas(take, "chunk_id long, ids array<int>")
 
 
+def read_masks(spark: SparkSession, folder: str, chunk: int) -> DataFrame:
+    """``chunk_id`` and ``mask`` from the mask files beside a token file; a size that is no whole number of chunks fails."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-????????????_mask.bin").load(folder).select("path", "content")
+
+    def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                if len(content) % chunk:
+                    raise ValueError(f"{path}: {len(content)} bytes are no whole number of chunks")
+                first = int(path.rsplit("part-", 1)[1][:12])
+                yield pd.DataFrame([(first + k, list(content[chunk * k : chunk * (k + 1)])) for k in range(len(content) // chunk)], columns=["chunk_id", "mask"])
+
+    return files.mapInPandas(take, "chunk_id long, mask array<int>")
+
+
+def token_faults(spark: SparkSession, folder: str, chunk: int) -> DataFrame:
+    """``name`` and ``fault`` of token files without a mask, with one of another length, of an odd size, or cut within a chunk."""
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bin").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    ids = sizes.where(~F.col("file").endswith("_mask.bin")).select(F.regexp_replace("file", r"\.bin$", "").alias("name"), F.col("length").alias("n_bytes"))
+    masks = sizes.where(F.col("file").endswith("_mask.bin")).select(F.regexp_replace("file", r"_mask\.bin$", "").alias("name"), F.col("length").alias("n_mask"))
+    fault = (
+        F.when(F.col("n_mask").isNull(), "no_mask").when(F.col("n_bytes") % 2 != 0, "odd_size").when(F.col("n_bytes") != 2 * F.col("n_mask"), "mask_length").when(F.col("n_mask") % chunk != 0, "cut_chunk")
+    )
+    return ids.join(masks, "name", "left").select("name", fault.alias("fault")).where("fault is not null")
+
+
+def append_tokens(df: DataFrame, folder: str, chunk: int) -> int:
+    """Append chunks after those that are there, numbered on; gives the number of the first new one."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    last = read_token_file(spark, folder, chunk).agg(F.max("chunk_id")).head()[0] if there else None
+    start = 0 if last is None else int(last) + 1
+    token_file(df.withColumn("chunk_id", F.col("chunk_id") + F.lit(start)), folder).collect()
+    return start
+
+
 def side_table(spark: SparkSession, values: dict[str, object], folder: str) -> None:
     """One JSON row of settings and counts beside a result."""
     spark.createDataFrame([(json.dumps(values, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
