@@ -224,23 +224,22 @@ def j_mix_seed_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ASOF = f"""
-WITH {_LOG}, hot AS (SELECT run_id FROM u GROUP BY 1 ORDER BY count(*) DESC, run_id LIMIT 2), r AS (SELECT run_id, row_number() OVER (ORDER BY run_id) AS k FROM hot),
-a AS (SELECT total_tokens, val_loss FROM u JOIN r USING (run_id) WHERE k = 1 AND val_loss IS NOT NULL), b AS (SELECT total_tokens, val_loss FROM u JOIN r USING (run_id) WHERE k = 2 AND val_loss IS NOT NULL),
-c AS (SELECT a.total_tokens, a.val_loss, b.total_tokens AS t, b.val_loss AS v, row_number() OVER (PARTITION BY a.total_tokens, a.val_loss ORDER BY abs(a.total_tokens - b.total_tokens), b.total_tokens, b.val_loss) AS k
+WITH {_LOG}, base AS (SELECT run_id FROM u GROUP BY 1 ORDER BY count(*) DESC, run_id LIMIT 1),
+a AS (SELECT run_id, total_tokens, val_loss FROM u WHERE val_loss IS NOT NULL AND run_id NOT IN (SELECT run_id FROM base)), b AS (SELECT total_tokens, val_loss FROM u JOIN base USING (run_id) WHERE val_loss IS NOT NULL),
+c AS (SELECT a.run_id, a.total_tokens, a.val_loss, b.total_tokens AS t, b.val_loss AS v, row_number() OVER (PARTITION BY a.run_id, a.total_tokens, a.val_loss ORDER BY abs(a.total_tokens - b.total_tokens), b.total_tokens, b.val_loss) AS k
   FROM a JOIN b ON abs(a.total_tokens - b.total_tokens) <= 60000000)
-SELECT total_tokens, val_loss, t AS total_tokens_right, v AS val_loss_right FROM c WHERE k = 1
+SELECT run_id, total_tokens, val_loss, t AS total_tokens_right, v AS val_loss_right FROM c WHERE k = 1
 """
 
 
 @query(_ASOF)
 def j_asof_val(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, folder)
-    hot = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "run_id").limit(2)
-    low, high = F.broadcast(hot.agg(F.min("run_id").alias("low"), F.max("run_id").alias("high"))), log.where("val_loss is not null")
-    both = high.crossJoin(low)
-    a = both.where("run_id = low").select("total_tokens", "val_loss")
-    b = both.where("run_id = high").select("total_tokens", "val_loss")
-    return joins.nearest(a, b, "total_tokens", "val_loss", 60_000_000)
+    """Validation losses of every run beside the nearest ones of the longest run."""
+    log = _log(spark, folder).where("run_id is not null")
+    base = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "run_id").limit(1).select(F.col("run_id").alias("base"))
+    rows = log.where("val_loss is not null").crossJoin(F.broadcast(base))  # one row
+    others = rows.where("run_id <> base").select("run_id", "total_tokens", "val_loss")
+    return joins.nearest(others, rows.where("run_id = base").select("total_tokens", "val_loss"), "total_tokens", "val_loss", 60_000_000)
 
 
 @query(f"WITH {_DONE} SELECT task, CAST(sum(passed::INT) AS BIGINT) AS k FROM v GROUP BY 1 ORDER BY k DESC, task LIMIT 10")

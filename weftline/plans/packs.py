@@ -84,11 +84,11 @@ def p_rolling_window(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, folder: str) -> list[DataFrame]:
-    packed = packs.pack(samples(spark, folder), ["pair_id"], CHUNK).withColumn("part", F.pmod(F.col("chunk_id"), F.lit(3)))
-    return [packed.where(F.col("part") == k).withColumn("chunk_id", F.expr("chunk_id div 3")).select("chunk_id", "ids", "mask") for k in (0, 1)]
+    packed = packs.pack(samples(spark, folder), ["pair_id"], CHUNK).withColumn("part", F.pmod(F.col("chunk_id"), F.lit(2)))
+    return [packed.where(F.col("part") == k).withColumn("chunk_id", F.expr("chunk_id div 2")).select("chunk_id", "ids", "mask") for k in (0, 1)]
 
 
-_CHUNK_SUMS = f"c AS (SELECT pos // {CHUNK} AS chunk_id, CAST(sum(id) AS BIGINT) AS id_sum FROM tok, total WHERE pos // {CHUNK} < total // {CHUNK} GROUP BY 1), parts AS (SELECT chunk_id % 3 AS part, chunk_id // 3 AS old, id_sum FROM c WHERE chunk_id % 3 < 2)"
+_CHUNK_SUMS = f"c AS (SELECT pos // {CHUNK} AS chunk_id, CAST(sum(id) AS BIGINT) AS id_sum FROM tok, total WHERE pos // {CHUNK} < total // {CHUNK} GROUP BY 1), parts AS (SELECT chunk_id % 2 AS part, chunk_id // 2 AS old, id_sum FROM c)"
 
 
 def _sums(df: DataFrame) -> DataFrame:

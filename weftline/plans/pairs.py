@@ -262,10 +262,10 @@ def g_token_limits(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "prompt_solution").where((p <= 512) & (s <= 768) & (p + s <= 1024)).select("pair_id", "loaded_at")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, list_transform(string_split(substr(text, 1, 64), ''), lambda c: unicode(c)) AS ids FROM documents WHERE length(text) > 0) WHERE list_has_any(ids, [9, 65279])")
+@query("SELECT doc_id FROM (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS ids FROM documents WHERE length(text) > 0) WHERE list_has_any(ids, [9, 65279])")
 def g_special_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Samples with a reserved id; here code points stand for ids."""
-    ids = F.transform(F.split(F.substring("text", 1, 64), ""), lambda c: F.ascii(c))
+    ids = F.transform(F.split("text", ""), lambda c: F.ascii(c))
     return table(spark, folder, "documents").where(F.length("text") > 0).select("doc_id", ids.alias("ids")).where(F.arrays_overlap("ids", F.array(F.lit(9), F.lit(65279)))).select("doc_id")
 
 
