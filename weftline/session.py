@@ -45,6 +45,9 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SETTLED: list[str] = []
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     try:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -62,10 +65,18 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/weftline/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(folder)
-    atexit.register(_remove, spark, folder)
+    if not _SETTLED:
+        atexit.register(forget, spark)
+    _SETTLED.append(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def forget(spark: SparkSession) -> None:
+    """Remove the tables settled so far. Results that still read them must have been written by then."""
+    while _SETTLED:
+        _remove(spark, _SETTLED.pop())
+
+
 _SHIPPED: set[str] = set()
 
 
