@@ -39,6 +39,7 @@ _OTHER = {
     "ref", "refs", "file", "path", "dir", "re", "regex", "pattern", "url", "uri", "name", "field", "header", "prompt", "hint", "label", "help", "type", "env", "var", "len", "length", "count", "limit", "ttl", "expiry", "policy", "provider", "backend", "class",
     "public", "pub", "checksum", "sha", "sha1", "sha256", "sha512", "md5", "digest", "hash", "commit", "revision", "rev", "uuid", "guid", "id", "integrity", "etag", "fingerprint", "version", "endpoint", "column", "table",
 }
+_ENDINGS = {"table", "field", "column", "count", "limit", "id", "name", "type", "label", "class"}
 _HASHES = {"checksum", "sha", "sha1", "sha256", "sha512", "sha384", "md5", "digest", "hash", "commit", "revision", "rev", "uuid", "guid", "integrity", "etag", "fingerprint", "public", "pub", "crc", "blob", "icon", "image", "img", "data", "payload", "signature", "build", "ref", "sum"}
 
 _PLACEHOLDER = re.compile(
@@ -138,7 +139,8 @@ def names_secret(name: str) -> int:
     if last in _HASHES:
         return -1
     if last in _OTHER:
-        return 1 if strong and len(parts) > 2 else -1
+        # a name of many parts may end in any word; one of two says what it holds
+        return (2 if last in _ENDINGS else 1) if strong and len(parts) > 2 else -1
     if any(p in plain for p in ("_".join(x.split()) for x in _PHRASES)):
         return 2
     if last in _STRONG or last.endswith(_ENDS) or (len(parts) > 1 and parts[-2] in _STRONG and len(last) <= 3):
@@ -164,7 +166,7 @@ def plausible(value: str, trust: int) -> bool:
     """Whether the value is a secret. ``trust``: 3 if its place is a secret's, 2 if it says so, 1 if it may be, 0 if nothing does."""
     if len(value) < (5 if trust == 3 else 6) or _SENTENCE.search(value) or dummy(value):
         return False
-    if _UUID.fullmatch(value):
+    if _UUID.fullmatch(value) or value.startswith("__") and value.endswith("__"):
         return False
     if trust < 3 and any(c in "{}()\\|" for c in value):
         return False
