@@ -10,6 +10,7 @@ identifiers, references and placeholders are left out.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.{40,20000}?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN).){40,}?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
 
 # Name parts that say a secret follows, in several languages.
 _STRONG = {
@@ -60,33 +61,33 @@ _NAME = r"[A-Za-zÀ-ÿ_$][\wÀ-ÿ$.\-]*"
 #: name = value, name: value, "name": "value", name => value, name := value; with what may stand between.
 _NAMED = re.compile(
     rf"(?P<q>[\"'`]?)(?P<name>{_NAME}(?: {_NAME}){{0,3}}?)(?P=q)\]?[ \t]*(?:\?[ \t]*)?(?:\|\|=|\?\?=|:[ \t]*(?:str|String|string|bytes)[ \t]*=|:=|=>|==|=|:)[ \t]*(?:\|[-+]?[ \t]*\r?\n[ \t]*)?(?P<pre>(?:[uUbBrRfF]{{1,2}}(?=[\"'`])|new \w+\(|Buffer\.from\(|(?:str|bytes|String|SecretStr)\()?)"
-    r"(?:(?P<s>\"\"\"|'''|[\"'`])(?P<quoted>[^\"'`\n]{4,400}?)(?P=s)|(?P<bare>[^\s\"'`,;(){}\[\]<>]{6,400}))"
+    r"(?:(?P<s>\"\"\"|'''|[\"'`])(?P<quoted>[^\"'`\n]{4,}?)(?P=s)|(?P<bare>[^\s\"'`,;(){}\[\]<>]{6,}))"
 )
-_URL_USER = re.compile(r"[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://[^\s:/@\"'`]{0,80}:(?P<value>[^\s@\"'`/]{3,200})@")
-_SCHEME = re.compile(r"(?i)\b(?P<scheme>basic|bearer|token|apikey|digest)(?:[ \t]+|[=:][ \t]*)[\"'`]?(?P<value>[A-Za-z0-9+/=_.~\-]{8,2000})")
-_QUERY = re.compile(r"(?i)[?&](?P<name>[a-z_\-]*(?:key|token|secret|password|passwd|pwd|sig|signature|auth|pass))=(?P<value>[^\s&\"'`#<>]{6,400})")
-_HEADER = re.compile(r"(?i)\b(?P<name>[a-z\-]*(?:api-?key|token|secret|password|auth)[a-z\-]*)[\"'`]?[ \t]*:[ \t]*[\"'`]?(?P<value>[A-Za-z0-9+/=_.~\-]{8,400})")
-_USER_PASS = re.compile(r"(?:(?<!\S)-u|--user|--userpwd|--login)[ =][\"'`]?[^\s:\"'`]{1,80}:(?P<value>[^\s\"'`]{4,200})")
-_OPTION = re.compile(r"(?i)(?<![\w\-])--?(?P<name>[a-z][a-z\-_]{1,40})[\"'`]?(?:[ =][\"'`]?|,[ \t]*[\"'`])(?P<value>[^\s\"'`,\]=]{6,300}={0,2})(?![\w(])")
-_HMAC = re.compile(r"(?i)hmac(?:\.new)?\([ \t]*(?:[\"'`]sha\d+[\"'`][ \t]*,[ \t]*)?[bB]?(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,200})(?P=t)")
-_CALL = re.compile(r"(?P<name>[\w.]+)\([ \t]*[uUbB]?(?P<s>[\"'`])[^\"'`\n]{1,80}(?P=s)[ \t]*,[ \t]*[uUbB]?(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,200})(?P=t)")
+_URL_USER = re.compile(r"[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://[^\s:/@\"'`]{0,80}:(?P<value>[^\s@\"'`/]{3,})@")
+_SCHEME = re.compile(r"(?i)\b(?P<scheme>basic|bearer|token|apikey|digest)(?:[ \t]+|[=:][ \t]*)[\"'`]?(?P<value>[A-Za-z0-9+/=_.~\-]{8,})")
+_QUERY = re.compile(r"(?i)[?&](?P<name>[a-z_\-]*(?:key|token|secret|password|passwd|pwd|sig|signature|auth|pass))=(?P<value>[^\s&\"'`#<>]{6,})")
+_HEADER = re.compile(r"(?i)\b(?P<name>[a-z\-]*(?:api-?key|token|secret|password|auth)[a-z\-]*)[\"'`]?[ \t]*:[ \t]*[\"'`]?(?P<value>[A-Za-z0-9+/=_.~\-]{8,})")
+_USER_PASS = re.compile(r"(?:(?<!\S)-u|--user|--userpwd|--login)[ =][\"'`]?[^\s:\"'`]{1,80}:(?P<value>[^\s\"'`]{4,})")
+_OPTION = re.compile(r"(?i)(?<![\w\-])--?(?P<name>[a-z][a-z\-_]{1,40})[\"'`]?(?:[ =][\"'`]?|,[ \t]*[\"'`])(?P<value>[^\s\"'`,\]=]{6,}={0,2})(?![\w(])")
+_HMAC = re.compile(r"(?i)hmac(?:\.new)?\([ \t]*(?:[\"'`]sha\d+[\"'`][ \t]*,[ \t]*)?[bB]?(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,})(?P=t)")
+_CALL = re.compile(r"(?P<name>[\w.]+)\([ \t]*[uUbB]?(?P<s>[\"'`])[^\"'`\n]{1,80}(?P=s)[ \t]*,[ \t]*[uUbB]?(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,})(?P=t)")
 #: Prose that hands a login on: a verb, whose login it is, and the value.
-_LOGIN = re.compile(r"(?i)\b(?:login|log in|logs in|logged in|sign in|signs in|signed in|rotate me|before changing)\b[^\n\"'`]{0,60}?(?:[ \t](?:is|was|with|/|->|=>|=|:|\|)[ \t]+|: ?|/ |(?<=changing) )[\"'`]?(?P<value>[^\s\"'`<>,;]{6,300})")
+_LOGIN = re.compile(r"(?i)\b(?:login|log in|logs in|logged in|sign in|signs in|signed in|rotate me|before changing)\b[^\n\"'`]{0,60}?(?:[ \t](?:is|was|with|/|->|=>|=|:|\|)[ \t]+|: ?|/ |(?<=changing) )[\"'`]?(?P<value>[^\s\"'`<>,;]{6,})")
 #: Prose that says what a secret is or was.
-_TOLD = re.compile(r"(?i)(?<![\w\-])(?P<name>[\w\-]{2,60}(?: [\w\-]{2,20})?)(?:[ \t]+(?:as|from|of|on|for)[ \t]+[\w\-]+)?[ \t]+(?:is|was|->|=>|for [\w\-]+:)[ \t]+[\"'`]?(?P<value>[^\s\"'`<>,;]{6,300})")
-_FOR = re.compile(r"(?i)\b(?P<name>token|password|passwort|secret|api[ _-]?key|key|credentials?)[ \t]+(?:for|of)[ \t]+[\w\-]+:?[ \t]+[\"'`]?(?P<value>[^\s\"'`<>,;]{6,300})")
+_TOLD = re.compile(r"(?i)(?<![\w\-])(?P<name>[\w\-]{2,60}(?: [\w\-]{2,20})?)(?:[ \t]+(?:as|from|of|on|for)[ \t]+[\w\-]+)?[ \t]+(?:is|was|->|=>|for [\w\-]+:)[ \t]+[\"'`]?(?P<value>[^\s\"'`<>,;]{6,})")
+_FOR = re.compile(r"(?i)\b(?P<name>token|password|passwort|secret|api[ _-]?key|key|credentials?)[ \t]+(?:for|of)[ \t]+[\w\-]+:?[ \t]+[\"'`]?(?P<value>[^\s\"'`<>,;]{6,})")
 #: A comment or line of prose that is nothing but user:value.
-_COLON = re.compile(r"(?m)^[ \t]*(?:#+|//+|;+|>|\*|--)?[ \t]*[A-Za-z][\w.\-]{2,40}:(?P<value>[^\s\"'`<>,;:]{8,200})[ \t]*$")
-_FLAG = re.compile(r"[\"'`]-p[\"'`][ \t]*,[ \t]*(?P<t>[\"'`])(?P<value>[^\"'`\s]{6,200})(?P=t)")
-_DEFAULT = re.compile(r"(?:environ\.get|getenv|env)\([ \t]*[\"'](?P<name>\w+)[\"'][ \t]*,[ \t]*(?P<t>[\"'])(?P<value>[0-9a-fA-F]{32,128})(?P=t)")
-_ARGUMENT = re.compile(r"\([ \t]*(?P<s>[\"'`])--?(?P<name>[\w\-]+)(?P=s)[^()\n]{0,80}?\bdefault[ \t]*=[ \t]*(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,200})(?P=t)")
-_PUT = re.compile(r"\([ \t]*(?P<s>[\"'`])(?P<name>[\w\-.]{3,80})(?P=s)[ \t]*,[ \t]*[uUbB]?(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,200})(?P=t)")
-_PAIR = re.compile(r"(?i)[\w\-]*(?:login|auth|credentials?|user|account)s?[\"'`]?[ \t]*[:=][ \t]*\{[ \t]*[\"'`][^\"'`\n]{1,60}[\"'`][ \t]*:[ \t]*(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,200})(?P=t)[ \t]*\}")
-_ACCESS = re.compile(r"(?i)\b(?:zugang|zugangsdaten|acc[eè]s|acceso|accesso|inloggen|anmeldung|connexion)\b[^\n\"'`]{0,60}?(?:[ \t](?:mit|avec|con|met|:)[ \t]+|: )[\"'`]?(?P<value>[^\s\"'`<>,;]{6,300})")
-_COMPARE = re.compile(r"(?:===?|!==?|compare_digest\([^,\n]+,|\bequals\()[ \t]*[uUbB]?(?P<s>[\"'`])(?P<value>[^\"'`\s]{8,200})(?P=s)")
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_\-.~%])[A-Za-z0-9][A-Za-z0-9+/_\-.]{15,500}={0,2}(?![A-Za-z0-9+/_\-])")
+_COLON = re.compile(r"(?m)^[ \t]*(?:#+|//+|;+|>|\*|--)?[ \t]*[A-Za-z][\w.\-]{2,40}:(?P<value>[^\s\"'`<>,;:]{8,})[ \t]*$")
+_FLAG = re.compile(r"[\"'`]-p[\"'`][ \t]*,[ \t]*(?P<t>[\"'`])(?P<value>[^\"'`\s]{6,})(?P=t)")
+_DEFAULT = re.compile(r"(?:environ\.get|getenv|env)\([ \t]*[\"'](?P<name>\w+)[\"'][ \t]*,[ \t]*(?P<t>[\"'])(?P<value>[0-9a-fA-F]{32,})(?P=t)")
+_ARGUMENT = re.compile(r"\([ \t]*(?P<s>[\"'`])--?(?P<name>[\w\-]+)(?P=s)[^()\n]{0,80}?\bdefault[ \t]*=[ \t]*(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,})(?P=t)")
+_PUT = re.compile(r"\([ \t]*(?P<s>[\"'`])(?P<name>[\w\-.]{3,80})(?P=s)[ \t]*,[ \t]*[uUbB]?(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,})(?P=t)")
+_PAIR = re.compile(r"(?i)[\w\-]*(?:login|auth|credentials?|user|account)s?[\"'`]?[ \t]*[:=][ \t]*\{[ \t]*[\"'`][^\"'`\n]{1,60}[\"'`][ \t]*:[ \t]*(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,})(?P=t)[ \t]*\}")
+_ACCESS = re.compile(r"(?i)\b(?:zugang|zugangsdaten|acc[eè]s|acceso|accesso|inloggen|anmeldung|connexion)\b[^\n\"'`]{0,60}?(?:[ \t](?:mit|avec|con|met|:)[ \t]+|: )[\"'`]?(?P<value>[^\s\"'`<>,;]{6,})")
+_COMPARE = re.compile(r"(?:===?|!==?|compare_digest\([^,\n]+,|\bequals\()[ \t]*[uUbB]?(?P<s>[\"'`])(?P<value>[^\"'`\s]{8,})(?P=s)")
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_\-.~%])[A-Za-z0-9][A-Za-z0-9+/_\-.]{15,}={0,2}(?![A-Za-z0-9+/_\-])")
 _JWT = re.compile(r"eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,}")
-_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.{0,20000}?-----END [A-Z0-9 ]+-----", re.S)
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----(?:(?!-----BEGIN).)*?-----END [A-Z0-9 ]+-----", re.S)
 _LEAD = re.compile(r"(?i)(?:basic|bearer|token|apikey)[ \t]+")
 _GRANTS = re.compile(r"(?i)grant|allow|unlock|admin|auth|login|enter|ok\b|true")
 _HASH_BEFORE = re.compile(r"(?i)sha-?\d*[ \"':=\-]|md5|checksum|digest|integrity|commit|revision|\brev\b|uuid|etag|fingerprint|base64,|public[ _-]?key|ssh-(?:rsa|ed25519)|_sha\b")
@@ -201,8 +202,15 @@ _TRIGGERS = (
     "auth", "login", "log in", "logs in", "logged in", "sign in", "signs in", "signed in", "cred", "bearer", "basic", "://", "-u ", "--user", "dsn", "mdp", "zugang", "acces", "accès", "inloggen", "anmeldung", "connexion", "connect", "rotate me", "before changing", "== '", '== "', "compare_digest", "'-p'", '"-p"', "environ", "getenv", "hmac", "jwt", "cookie", "session",
 )
 _LONGISH = re.compile(r"(?<![A-Za-z0-9+/_\-.~%])(?=[A-Za-z+/_\-.]*\d)[A-Za-z0-9][A-Za-z0-9+/_\-.]{15,}")
-_TWO = re.compile(r"\((?P<s>[\"'])[^\"'\n]{1,60}(?P=s), ?[\"'](?=[^\"'\n]*\d)[^\"'\n ]{8,200}[\"']\)")
-_LONELY = re.compile(r"(?m)^[ \t]*(?:#+|//+|;+|>|\*|--)?[ \t]*[A-Za-z][\w.\-]{2,40}:[^\s\"'`<>,;:]{8,200}[ \t]*$")
+_TWO = re.compile(r"\((?P<s>[\"'])[^\"'\n]{1,60}(?P=s), ?[\"'](?=[^\"'\n]*\d)[^\"'\n ]{8,}[\"']\)")
+_LONELY = re.compile(r"(?m)^[ \t]*(?:#+|//+|;+|>|\*|--)?[ \t]*[A-Za-z][\w.\-]{2,40}:[^\s\"'`<>,;:]{8,}[ \t]*$")
+
+
+#: Where a window on a long line may end: no value goes on beyond a quote or a line end.
+_EDGE = re.compile(r"[\"'`\n]")
+#: Characters of the longest run of letters and digits that the rules are run on as it stands.
+LONG_RUN = 2000
+_RUN = re.compile(rf"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{{{LONG_RUN + 1},}}")
 
 
 @functools.lru_cache(maxsize=1)
@@ -216,8 +224,27 @@ def _triggers():  # noqa: ANN202
     return machine
 
 
+def _edge(text: str, at: int) -> int:
+    """The end of the token or string that stands at the place."""
+    m = _EDGE.search(text, at)
+    return m.end() if m else len(text)
+
+
+def _shortened(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with the middle of its longest runs left out, which no rule looks into, where that was, and the characters left out up to there."""
+    parts, places, left_out = [], [], []
+    at = length = gone = 0
+    for m in _RUN.finditer(text) if len(text) > LONG_RUN and max(map(len, text.split("\n"))) > LONG_RUN else ():
+        low, high = m.start() + LONG_RUN // 2, m.end() - LONG_RUN // 2
+        parts.append(text[at:low])
+        length, gone, at = length + low - at, gone + high - low, high
+        places.append(length)
+        left_out.append(gone)
+    return "".join([*parts, text[at:]]) if parts else text, places, left_out
+
+
 def _segments(text: str, before: int = 240, after: int = 480) -> list[tuple[int, int]]:
-    """Stretches of the text that may hold a secret: whole lines around triggers, of very long lines a part."""
+    """Stretches of the text that may hold a secret: whole lines around triggers, of very long lines a part that cuts no token or string."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change their number of characters
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -231,14 +258,14 @@ def _segments(text: str, before: int = 240, after: int = 480) -> list[tuple[int,
     out: list[tuple[int, int]] = []
     for p in places:
         if out and p < out[-1][1]:
-            if out[-1][1] - p > 60 or text[out[-1][1] - 1 : out[-1][1]] == "\n":
+            if out[-1][1] >= p + after or text[out[-1][1] - 1 : out[-1][1]] == "\n":
                 continue
         start = max(text.rfind("\n", max(0, p - 4 * before), p) + 1, p - before)
         end = text.find("\n", p, p + after)
-        end = min(len(text), p + after) if end < 0 else end + 1
+        end = _edge(text, p + after) if end < 0 else end + 1
         if text[max(0, end - 4) : end].rstrip().endswith(("|", "|-", ":")):  # a block of YAML goes on
             more = text.find("\n", end, end + after)
-            end = min(len(text), end + after) if more < 0 else more + 1
+            end = _edge(text, end + after) if more < 0 else more + 1
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -253,23 +280,30 @@ def secrets(text: str) -> list[tuple[int, int]]:
     if "-----BEGIN" in text:
         spans += [m.span() for m in _PEM.finditer(text) if not _blank_key(m.group())]
         pems = [m.span() for m in _BLOCK.finditer(text)]
+    whole = text
+    text, places, left_out = _shortened(whole)
     segments = _segments(text)
     if not segments:
         return _outermost(spans)
-    data = [m.span() for m in _DATA_LINE.finditer(text)]
+    data = [m.span() for m in _DATA_LINE.finditer(whole)]
     crowd = len(data) >= 4
     hash_lines: dict[int, bool] = {}
 
     def line_says_hash(at: int) -> bool:
-        start = max(text.rfind("\n", 0, at) + 1, at - 200)
+        start = max(whole.rfind("\n", 0, at) + 1, at - 200)
         if start not in hash_lines:
-            hash_lines[start] = bool(_HASH_BEFORE.search(text, start, at))
+            hash_lines[start] = bool(_HASH_BEFORE.search(whole, start, at))
         return hash_lines[start]
 
+    def place(at: int) -> int:
+        """The place in the whole text."""
+        k = bisect.bisect_left(places, at)
+        return at + left_out[k - 1] if k else at
+
     def add(m: re.Match, trust: int, group: str | int = "value", skip: int = 0) -> None:
         start, end = m.span(group)
-        start += skip
-        value = text[start:end]
+        start, end = place(start + skip), place(end)
+        value = whole[start:end]
         stripped = _trim(value)
         if len(stripped) < 5:
             return
@@ -359,7 +393,7 @@ def secrets(text: str) -> list[tuple[int, int]]:
             for m in _ACCESS.finditer(text, low, high):
                 add(m, 2)
         if "eyj" in part:
-            spans += [m.span() for m in _JWT.finditer(text, low, high)]
+            spans += [(place(m.start()), place(m.end())) for m in _JWT.finditer(text, low, high)]
         for m in _LONG.finditer(text, low, high):
             add(m, 0, 0)
     return _outermost(spans)
