@@ -203,6 +203,38 @@ def test_leaks(change, leaks_it):
     assert ("item" in [name for name, _ in index.leaks(text)]) == leaks_it
 
 
+POOR = """def settle(rows, table, first):
+    kept = 7 * first % 31 + 5
+    seen = rows[3] - 44 + kept * 9
+    try:
+        seen -= table[92]
+    except IndexError:
+        seen.append(kept)
+    for row in rows:
+        table.append(row)
+        first.extend(sorted(row))
+    if not first:
+        raise ValueError(table)
+    first.reverse()
+    return seen, first"""
+
+
+@pytest.mark.parametrize("low", range(10))
+def test_every_five_lines_are_found(low):
+    index = leaks.Index([("item", POOR), ("other", SOLUTION)])
+    part = "\n".join(POOR.split("\n")[low : low + 5])
+    for text in (part, re.sub(r"\brow\b", "entry", part), "\n".join("# " + x for x in part.split("\n")), re.sub(r"\n", "\n    # and then\n", part)):
+        text = "import os\n\ndef helper(y):\n    return y + 1\n\n" + text + "\n\nprint(helper(3))\n"
+        assert [name for name, _ in index.leaks(text)] == ["item"]
+    assert not index.leaks("import os\n" + "\n".join(part.split("\n")[:2]) + "\nprint(os)\n")
+
+
+def test_items_without_numbers():
+    code = "\n".join(POOR.split("\n")[7:])
+    assert [name for name, _ in leaks.Index([("item", code)]).leaks("import os\n" + code + "\nprint(os)\n")] == ["item"]
+    assert not leaks.Index([("item", code)]).leaks("for a in b:\n    c.append(d)\n    e.extend(sorted(f))\nif not g:\n    raise KeyError(h)\ni.reverse()\nreturn j, k\n".replace("(h)", "(h, b)"))
+
+
 def test_tiling_is_greedy():
     import numpy as np
 
