@@ -158,6 +158,17 @@ def test_large_classes_become_stars(spark, monkeypatch):
     assert got == {(0, k) for k in range(1, 6)} | {(k, 9) for k in range(6)}
 
 
+def test_different_texts_of_large_classes_are_all_linked(spark, monkeypatch):
+    monkeypatch.setattr(near, "EXPAND", 3)
+    words, other = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten eleven"
+    same = [words, words.upper(), words.replace(" ", ", "), words + "!", words, words.upper()]
+    more = [other, other.title(), other + ".", other.replace(" ", "\n"), other]
+    df = spark.createDataFrame([("a", k, t) for k, t in enumerate(same + more)], "set string, id long, text string")
+    got = {(x.id_a, x.id_b) for x in near.Similar(df).found().collect()}
+    first = [0, 1, 2, 3, 6, 7, 8, 9]
+    assert got == {(a, b) for a in first for b in first if a < b} | {(0, 4), (1, 5), (6, 10)}
+
+
 # 1: leaks
 
 SOLUTION = """def solve(a, b=3):

@@ -31,7 +31,7 @@ PRINTED = 128
 #: Of the 256 bits. At a similarity of 0.6 the distance is 51 on average with a deviation of 7.5.
 MOST_BITS = 86
 HOT_BLOCK = 64
-#: Members of two classes (or one) whose pairs are all written out; larger ones are tied to their first member.
+#: Members of two classes (or one) whose pairs are all written out; in larger ones exact copies are tied to the first of their text.
 EXPAND = 256
 #: Ids that may be sent to every executor, 8 bytes each.
 BROADCAST_IDS = 200_000
@@ -89,6 +89,8 @@ def minhash(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import xxhash
+
     hashes = WordHashes()
     for frame in frames:
         for low in range(0, len(frame), 1000):
@@ -111,14 +113,15 @@ def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 blocks = np.zeros((BLOCKS, len(sets)), np.uint64)
                 for k in range(WIDTH):
                     blocks = _mix(blocks * _P1 + table[k::WIDTH].astype(np.uint64) + np.arange(1, BLOCKS + 1, dtype=np.uint64)[:, None] * _P2)
-            out = pd.DataFrame({"set": part["set"].to_numpy()[keep], "id": part["id"].to_numpy()[keep], "c1": ones.view(np.int64), "c2": twos.view(np.int64), "n": sizes})
+            texts = [xxhash.xxh3_64_intdigest(part["text"].iat[k].encode("utf-8", "surrogatepass")) for k in keep]
+            out = pd.DataFrame({"set": part["set"].to_numpy()[keep], "id": part["id"].to_numpy()[keep], "t": np.array(texts, np.uint64).view(np.int64), "c1": ones.view(np.int64), "c2": twos.view(np.int64), "n": sizes})
             for k in range(4):
                 out[f"f{k}"] = prints[k].view(np.int64)
             out["blocks"] = list(blocks.view(np.int64).T)
             yield out
 
 
-_RECORD = "set string, id bigint, c1 bigint, c2 bigint, n bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint, blocks array<bigint>"
+_RECORD = "set string, id bigint, t bigint, c1 bigint, c2 bigint, n bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint, blocks array<bigint>"
 
 
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,24 +213,37 @@ class Similar:
 
         Pairs within a class, and between two similar classes, are all written out while the
         classes (for two: their product) have at most EXPAND (its square) members. Beyond that
-        each member is paired with its class's first, and the first members with each other.
+        each exact copy is paired with the first record of its text, and these with each other,
+        within the class and across, so that all different texts are linked.
         """
-        rows = self.table.select("set", "c1", "c2", "id").distinct().join(self.classes.select("set", "c1", "c2", "rep", "size"), ["set", "c1", "c2"])
-        rows = rows.select("set", "id", "rep", "size")
+        rows = self.table.select("set", "c1", "c2", "id", "t").distinct().join(self.classes.select("set", "c1", "c2", "rep", "size"), ["set", "c1", "c2"])
+        rows = rows.select("set", "id", "t", "rep", "size")
         many = rows.where("size > 1")
-        small = many.where(F.col("size") <= EXPAND)
+        small = many.where(F.col("size") <= EXPAND).select("set", "rep", "id").distinct()
         inside = small.alias("x").join(small.alias("y"), ["set", "rep"]).where("x.id < y.id").select("set", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        star = many.where(F.col("size") > EXPAND).where("id <> rep").select("set", F.col("rep").alias("a"), F.col("id").alias("b"))
+        large = many.where(F.col("size") > EXPAND)
+        firsts = large.groupBy("set", "rep", "t").agg(F.min("id").alias("first"))
+        star = large.join(firsts, ["set", "rep", "t"]).where("id <> first").select("set", F.col("first").alias("a"), F.col("id").alias("b"))
+        texts = firsts.select("set", "rep", F.col("first").alias("id")).distinct()
+        across = texts.alias("x").join(texts.alias("y"), ["set", "rep"]).where("x.id < y.id").select("set", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         sizes = self.classes.select("set", "rep", "size").groupBy("set", "rep").agg(F.max("size").alias("size"))
         sized = self.pairs.join(sizes.select("set", F.col("rep").alias("a"), F.col("size").alias("sa")), ["set", "a"]).join(sizes.select("set", F.col("rep").alias("b"), F.col("size").alias("sb")), ["set", "b"])
         sized = settle(sized, "sized")
-        plain = sized.where(f"(sa = 1 and sb = 1) or sa * sb > {EXPAND * EXPAND}").select("set", "a", "b")
-        spread = (
-            sized.where(f"(sa > 1 or sb > 1) and sa * sb <= {EXPAND * EXPAND}")
-            .join(rows.select("set", F.col("rep").alias("a"), F.col("id").alias("ia")), ["set", "a"])
-            .join(rows.select("set", F.col("rep").alias("b"), F.col("id").alias("ib")), ["set", "b"])
-            .select("set", F.col("ia").alias("a"), F.col("ib").alias("b"))
-        )
+        plain = sized.where("sa = 1 and sb = 1").select("set", "a", "b")
+
+        def between(pairs: DataFrame, members: DataFrame) -> DataFrame:
+            return (
+                pairs.join(members.select("set", F.col("rep").alias("a"), F.col("id").alias("ia")), ["set", "a"])
+                .join(members.select("set", F.col("rep").alias("b"), F.col("id").alias("ib")), ["set", "b"])
+                .select("set", F.col("ia").alias("a"), F.col("ib").alias("b"))
+            )
+
+        ids = rows.select("set", "rep", "id")
+        spread = between(sized.where(f"(sa > 1 or sb > 1) and sa * sb <= {EXPAND * EXPAND}"), ids)
+        vast = sized.where(f"sa * sb > {EXPAND * EXPAND}")
+        inside = inside.union(across)
+        if vast.head(1):
+            spread = spread.union(between(vast, rows.groupBy("set", "rep", "t").agg(F.min("id").alias("id"))))
         union = inside.union(star).union(plain).union(spread).where("a <> b")
         return union.select(F.col("set").alias("record_set"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
