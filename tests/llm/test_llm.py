@@ -390,6 +390,16 @@ def test_kinds(spark):
     assert handwritten.found(df.where("false")).collect() == []
 
 
+def test_buckets_with_an_unrelated_head(spark):
+    one, two, three = (bytes(random.Random(k).choices(range(256), k=handwritten.PLACES)) for k in (1, 2, 3))
+    rows = [(0, one, False), *[(k, two, k % 2 == 0) for k in range(1, 7)], *[(k, three, k % 2 == 0) for k in range(7, 13)], (13, one, False), (14, bytes(80), True)]
+    table = spark.createDataFrame([(k, s, [5, 100 + k], said) for k, s, said in rows], "id long, sig binary, bands array<long>, generated boolean")
+    heads = {}
+    for r in handwritten.clusters(table, "bands", "sig", 4, "generated").collect():
+        heads.setdefault(r.head, set()).add(r.id)
+    assert {frozenset(m) for m in heads.values()} == {frozenset({0, 13}), frozenset(range(1, 7)), frozenset(range(7, 13)), frozenset({14})}
+
+
 # 7: subjects
 
 
