@@ -400,6 +400,15 @@ def test_buckets_with_an_unrelated_head(spark):
     assert {frozenset(m) for m in heads.values()} == {frozenset({0, 13}), frozenset(range(1, 7)), frozenset(range(7, 13)), frozenset({14})}
 
 
+def test_clusters_of_literals_are_data(spark):
+    r = random.Random(12)
+    lines = [40, 40, 40, 40, 9]
+    texts = ["T = [\n" + "\n".join(", ".join(str(r.randrange(9999)) for _ in range(5)) + "," for _ in range(n)) + "\n]\n" for n in lines]
+    kinds = {(x.doc_id, x.kind) for x in handwritten.kinds(docs(spark, list(enumerate(texts)))).collect()}
+    assert {d for d, kind in kinds if kind == "data"} == {0, 1, 2, 3}
+    assert {d for d, kind in kinds if kind == "data_family"} == {0, 1, 2, 3, 4}
+
+
 # 7: subjects
 
 
