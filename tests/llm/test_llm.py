@@ -390,14 +390,73 @@ def test_kinds(spark):
     assert handwritten.found(df.where("false")).collect() == []
 
 
-def test_buckets_with_an_unrelated_head(spark):
+def test_nodes_that_agree_are_clustered_whatever_their_heads(spark):
+    """One bucket holds all, with a head unlike the others; the bands they share besides link those that agree."""
     one, two, three = (bytes(random.Random(k).choices(range(256), k=handwritten.PLACES)) for k in (1, 2, 3))
-    rows = [(0, one, False), *[(k, two, k % 2 == 0) for k in range(1, 7)], *[(k, three, k % 2 == 0) for k in range(7, 13)], (13, one, False), (14, bytes(80), True)]
-    table = spark.createDataFrame([(k, s, [5, 100 + k], said) for k, s, said in rows], "id long, sig binary, bands array<long>, generated boolean")
-    heads = {}
-    for r in handwritten.clusters(table, "bands", "sig", 4, "generated").collect():
-        heads.setdefault(r.head, set()).add(r.id)
-    assert {frozenset(m) for m in heads.values()} == {frozenset({0, 13}), frozenset(range(1, 7)), frozenset(range(7, 13)), frozenset({14})}
+    rows = [(0, one, 1), *[(k, two, 2) for k in range(1, 7)], *[(k, three, 3) for k in range(7, 13)], (13, one, 1), (14, bytes(80), 4)]
+    nodes = spark.createDataFrame([(k, 0, [5, 100 + group, 200 + k], s, s) for k, s, group in rows], "node long, sketch long, bands array<long>, sig binary, other binary")
+    edges = handwritten.links(nodes)
+    roots = {}
+    for r in handwritten.components(edges).collect():
+        roots.setdefault(r.root, set()).add(r.node)
+    assert roots == {0: {0, 13}, 1: set(range(1, 7)), 7: set(range(7, 13))}
+    stars = {}
+    for r in handwritten.clusters(edges).collect():
+        stars.setdefault(r.cluster, set()).add(r.node)
+    assert {frozenset(x) for x in stars.values()} == {frozenset(x) for x in roots.values()}
+
+
+def test_components_of_long_chains(spark):
+    chain = list(range(60))
+    random.Random(5).shuffle(chain)
+    edges = spark.createDataFrame([*zip(chain, chain[1:], strict=False), (100, 101), (102, 101)], "node long, head long")
+    got = {r.node: r.root for r in handwritten.components(edges).collect()}
+    assert got == {k: 0 for k in range(60)} | {k: 100 for k in (100, 101, 102)}
+    assert handwritten.components(edges.where("false")).collect() == []
+
+
+def test_links_find_most_agreeing_pairs(spark):
+    """Recall of the connected components against all pairs of signatures that agree."""
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(3)
+    texts = []
+    for base in [hand(r).split("\n") for _ in range(15)]:
+        for _ in range(12):
+            edited = list(base)
+            edited.insert(r.randrange(len(base)), r.choice(["while done: pass", "assert a == b", "x = [1, 2, y]", "raise Error('a')", "del q[0]", "return f(g, 3)"]))
+            texts.append("\n".join(edited))
+    frame = pd.concat(handwritten._features(iter([pd.DataFrame({"id": range(len(texts)), "text": texts, "repo": "r", "path": "a.py"})])))
+    nodes = frame.drop_duplicates("node")
+    table = spark.createDataFrame([(int(n), int(s), [int(x) for x in b], bytes(g), bytes(g)) for n, s, b, g in zip(nodes["node"], nodes["sketch"], nodes["bands"], nodes["sig"], strict=True)], "node long, sketch long, bands array<long>, sig binary, other binary")
+    root = {x.node: x.root for x in handwritten.components(handwritten.links(table)).collect()}
+    sig = np.frombuffer(b"".join(nodes["sig"]), np.uint8).reshape(-1, handwritten.PLACES)
+    ids = nodes["node"].tolist()
+    pairs = [(ids[a], ids[b]) for a in range(len(ids)) for b in np.flatnonzero((sig[a + 1 :] == sig[a]).mean(axis=1) >= handwritten.AGREE) + a + 1]
+    assert len(pairs) > 100
+    assert sum(a in root and root.get(a) == root.get(b) for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_families_within_one_repository(spark):
+    """One template, many fillings: generated in one repository, nothing over several; nor are edits of one text."""
+    r = random.Random(6)
+    fill = lambda: "".join(f"register('{r.randrange(10**6)}', {r.choice('abcdefgh')}{r.randrange(10**4)}.at({r.randrange(99)}))\n" for _ in range(14))
+    same = hand(r)
+    rows = [(k, fill(), "one") for k in range(12)] + [(100 + k, same.replace("print", f"print{k}", 1), "two") for k in range(12)]
+    spread = [(k, t, f"{repo}{k}") for k, t, repo in rows]
+    for given, want in ((rows, set(range(12))), (spread, set())):
+        df = spark.createDataFrame([(k, t, repo, "a.py") for k, t, repo in given], "doc_id long, text string, repo string, path string")
+        assert {x.doc_id for x in handwritten.kinds(df).collect() if x.kind == "generated_family"} == want
+
+
+@pytest.mark.parametrize("quote", ["'''", '"""'])
+def test_bodies_of_text_in_one_literal_are_data(quote):
+    body = "\n".join(f"entry_{k} value_{k * 7}" for k in range(60))
+    for text, want in ((f"TABLE = {quote}\n{body}\n{quote}\n", True), (f"{quote}\n{body}\n{quote}\n", False), (f"T = {quote}\na b\n{quote}\n", False)):
+        bare = handwritten._strip(text)
+        found = handwritten._TOKEN.findall(bare)
+        assert handwritten.data_body(text, bare, handwritten.Masks().of(found), found) == want
 
 
 def test_clusters_of_literals_are_data(spark):
