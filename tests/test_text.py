@@ -154,3 +154,40 @@ def test_blake2b_is_unsigned(spark):
     values = [str(k) for k in range(50)]
     rows = spark.createDataFrame([(v,) for v in values], "x string").select("x", text.blake2b_bucket(F.col("x")).alias("b")).collect()
     assert all(r.b == int.from_bytes(hashlib.blake2b(r.x.encode(), digest_size=8).digest(), "big") % 10_000 for r in rows)
+
+
+LICENSED = "# Copyright 2020 Somebody\n# All rights\n# reserved\n"
+
+
+@pytest.mark.parametrize(
+    ("text_in", "want"),
+    [
+        ("#!/usr/bin/env python\n\nx = 1\n", "x = 1"),
+        (LICENSED + '"""\nWhat it does.\n"""\n\nx = 1\n', "x = 1"),
+        ('"""What it does."""\nx = 1\n', '"""What it does."""\nx = 1'),
+        (LICENSED + '"""\nstays open\nx = 1\n', LICENSED + '"""\nstays open\nx = 1\n'),
+        (LICENSED + "\n\n", LICENSED + "\n\n"),
+        ("# all rights\n# reserved\nx = 1", "x = 1"),
+        ("# all rights\n\n# reserved\nx = 1", "# all rights\n\n# reserved\nx = 1"),
+        ("'''mit license''' + y\r\nx = 1\r\n", "x = 1"),
+        ("x = 1\n", "x = 1"),
+        ("", ""),
+        (" \n ", " \n "),
+    ],
+)
+def test_headers(text_in, want):
+    assert text.strip_header_text(text_in) == want
+
+
+@pytest.mark.parametrize(
+    ("text_in", "want"),
+    [
+        ("x = 1\n\n# Copyright me\n\n# and you\n\ny = 2\n", "x = 1\n\ny = 2"),
+        ("x = 1\n\n\n\n# Copyright me\n\n\ny = 2\n", "x = 1\n\ny = 2"),
+        ("x = 1\n\n\n\ny = 2  # Copyright me\n", "x = 1\n\n\n\ny = 2  # Copyright me"),
+        ("x = 1\n# plain\n\n# words\ny = 2\n# MIT License", "x = 1\n# plain\n\n# words\ny = 2"),
+        ("# Copyright me\n# and you", "# Copyright me\n# and you"),
+    ],
+)
+def test_licence_blocks(text_in, want):
+    assert text.strip_copyright_text(text_in) == want

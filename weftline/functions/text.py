@@ -17,6 +17,8 @@ from weftline.functions.rules import LICENCE_WORDS, LOGIC, PAIR_LOGIC, STOPS
 
 WS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 META_TAG = r"<(?:gh_stars|reponame|filename)>"
+
+# Patterns that decide what counts as a literal, a definition, an import, a fenced block, and as chance or the clock.
 STRING = r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\""
 DEFINITION = r"(?m)^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
 IMPORT = r"(?m)^[ \t]*(?:import[ \t]+([A-Za-z_][\w.]*)|from[ \t]+([A-Za-z_][\w.]*)[ \t]+import)"
@@ -262,69 +264,43 @@ def body_reason(c: Column) -> Column:
 # Arrow UDFs
 
 
-def _soft_end(rows: list[str], start: int) -> tuple[int, str, bool]:
-    """Where the block of blanks, comments and docstrings from ``start`` ends, its words, and whether it has a shebang."""
-    at, words, shebang = start, [], False
-    while at < len(rows):
-        row = rows[at].strip()
-        quote = row[:3] if row[:3] in ('"""', "'''") else ""
-        if row.startswith("#!"):
-            shebang = True
-            words.append(row[2:])
-        elif row.startswith("#"):
-            words.append(row[1:])
-        elif quote and len(row) > 3 and quote in row[3:]:
-            words.append(row[3:].replace(quote, ""))
-        elif quote:
-            close = next((k for k in range(at + 1, len(rows)) if quote in rows[k]), None)
-            if close is None:
-                break
-            words += [row[3:], *rows[at + 1 : close], rows[close].replace(quote, "")]
-            at = close
-        elif row:
-            break
-        at += 1
-    return at, " ".join(words).lower(), shebang
+# White space within a line, and a line's end.
+_GAP = r"[^\S\n]*"
+#: A line that is no code: blank, a comment, or a docstring up to the end of its last line.
+_SOFT = re.compile(rf"{_GAP}(?:#[^\n]*|(?P<q>\"\"\"|''')(?s:.*?)(?P=q)[^\n]*)?(?:\n|\Z)")
+_SHEBANG = re.compile(rf"(?m)^{_GAP}#!")
+#: A comment line with the comments and blank lines that follow it.
+_BLOCK = re.compile(rf"(?m)^{_GAP}#[^\n]*(?:\n{_GAP}(?:#[^\n]*)?$)*\n?")
+_NEXT_COMMENT = re.compile(rf"\n{_GAP}#{_GAP}")
+_BLANK_RUN = re.compile(rf"(?m)(^{_GAP}\n)(?:{_GAP}\n)+")
 
 
-def _licence(words: str) -> bool:
+def _licence(block: str) -> bool:
+    """Whether a licence word stands in the block, comments that follow each other read as one line."""
+    words = _NEXT_COMMENT.sub(" ", block.lower())
     return any(word in words for word in LICENCE_WORDS)
 
 
-def strip_header_text(text: str, rounds: int = 10) -> str:
-    """Without the blocks at the top that hold a licence or a shebang; unchanged if nothing would remain."""
-    rows, start = text.split("\n"), 0
-    for _ in range(rounds):
-        end, words, shebang = _soft_end(rows, start)
-        if end == start or not (_licence(words) or shebang):
-            break
-        start = end
-    rest = "\n".join(rows[start:]).strip()
-    return text if start >= len(rows) or not rest else rest
+def strip_header_text(text: str) -> str:
+    """Trimmed, and without the lines above the code if they hold a licence or a shebang; then unchanged if no code follows or a docstring stays open."""
+    end = 0
+    while end < len(text) and (soft := _SOFT.match(text, end)):
+        end = soft.end()
+    top, rest = text[:end], text[end:].strip()
+    if not (_SHEBANG.search(top) or _licence(top)):
+        return text.strip() or text
+    return text if not rest or rest.startswith(('"""', "'''")) else rest
 
 
 def strip_copyright_text(text: str) -> str:
     """Without licence headers and licence comment blocks anywhere; blank runs shrink only where something went."""
     text = strip_header_text(text)
-    rows = text.split("\n")
-    drop: set[int] = set()
-    at = 0
-    while at < len(rows):
-        if not rows[at].strip().startswith("#"):
-            at += 1
-            continue
-        start = at
-        while at < len(rows) and (not rows[at].strip() or rows[at].strip().startswith("#")):
-            at += 1
-        if _licence(" ".join(r.strip().lstrip("#").strip() for r in rows[start:at]).lower()):
-            drop.update(range(start, at))
-    if not drop:
+    spots = [block.span() for block in _BLOCK.finditer(text) if _licence(block.group())]
+    if not spots:
         return text
-    kept: list[str] = []
-    for k, row in enumerate(rows):
-        if k not in drop and (row.strip() or not kept or kept[-1].strip()):
-            kept.append(row)
-    return "\n".join(kept).strip() or text
+    ends = [0, *(end for _, end in spots)]
+    kept = "".join(text[a:b] for a, b in zip(ends, [*(start for start, _ in spots), len(text)], strict=True))
+    return _BLANK_RUN.sub(r"\1", kept).strip() or text
 
 
 def _mapped(function, kind=T.StringType()):  # noqa: ANN001, ANN202, B008
@@ -340,10 +316,10 @@ def strip_header(c: Column) -> Column:
 
 
 def strip_copyright(c: Column) -> Column:
-    """Licence scrub. Texts without ``#``, docstring or licence word never reach Python."""
-    words = "|".join(re.escape(w) for w in LICENCE_WORDS)
+    """Licence scrub. Texts without a shebang or licence word, which may go on over comment lines, are only trimmed and never reach Python."""
+    words = "|".join(r"[\s#]+".join(re.escape(part) for part in w.split(" ")) for w in LICENCE_WORDS)
     touched = F.contains(c, F.lit("#!")) | F.lower(c).rlike(words)
-    return F.when(touched, _mapped(strip_copyright_text)(F.when(touched, c))).otherwise(c)
+    return F.when(touched, _mapped(strip_copyright_text)(F.when(touched, c))).otherwise(F.when(blank(c), c).otherwise(strip(c)))
 
 
 def normalize_code_text(text: str) -> str:
