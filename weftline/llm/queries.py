@@ -12,13 +12,19 @@ from weftline.session import table, texts
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with the evaluation items they leak."""
-    return leaks.leaked(texts(spark, folder), table(spark, folder, "heldout_problems")).select("doc_id", "item_id")
+    """Documents with the evaluation items of which they have five lines in a row, or all, in their order."""
+    return leaks.leaked(texts(spark, folder), table(spark, folder, "heldout_problems"), reordered=False).select("doc_id", "item_id")
+
+
+def p1_reordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold most of an evaluation item, in order or not, with the share that tiles cover."""
+    found = leaks.leaked(texts(spark, folder), table(spark, folder, "heldout_problems"))
+    return found.where(F.col("covered") >= leaks.COVERED).select("doc_id", "item_id", F.round("covered", 4).alias("covered"), "in_order")
 
 
 def p1_by_item(spark: SparkSession, folder: str) -> DataFrame:
     """For each evaluation item that leaked: how many documents have it, and the most lines in a row of it."""
-    found = leaks.leaked(texts(spark, folder), table(spark, folder, "heldout_problems"))
+    found = leaks.leaked(texts(spark, folder), table(spark, folder, "heldout_problems"), reordered=False)
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("lines").alias("most_lines"))
 
 
@@ -87,7 +93,7 @@ def p7_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_by_item, p2_found, p2_redacted, p3_found, p3_kinds, p4_found, p4_classes, p5_ids, p6_containers, p6_summary, p7_found, p7_composition)
+    every = (p1_found, p1_by_item, p1_reordered, p2_found, p2_redacted, p3_found, p3_kinds, p4_found, p4_classes, p5_ids, p6_containers, p6_summary, p7_found, p7_composition)
     return {f.__name__: f for f in every}
 
 
