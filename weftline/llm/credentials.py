@@ -44,8 +44,10 @@ _ENDINGS = {"table", "field", "column", "count", "limit", "id", "name", "type",
 _HASHES = {"checksum", "sha", "sha1", "sha256", "sha512", "sha384", "md5", "digest", "hash", "commit", "revision", "rev", "uuid", "guid", "integrity", "etag", "fingerprint", "public", "pub", "crc", "blob", "icon", "image", "img", "data", "payload", "signature", "build", "ref", "sum"}
 
 _PLACEHOLDER = re.compile(
-    r"x{4,}|\*{3,}|\.{3,}|-{5,}|_{4,}|#{3,}|0{6,}|1{6,}|redacted|changeme|change[-_ ]me|replace[-_ ]?(?:me|with)|your[-_ ]|example|placeholder|dummy|sample|todo|fixme|insert|not[-_ ]?a[-_ ]?secret|notreal|not[-_ ]real|"
-    r"fake|foobar|test[-_ ]?(?:key|token|secret|password|pass)|deadbeef|123456|abcdef|qwerty|lorem|masked|removed|hidden[-_ ]?value|none|null|undefined|<[^>]*>|\bhere\b|letmein|geheim123|s3cr3t|hunter2",
+    r"x{4,}|\*{3,}|\.{3,}|-{5,}|_{4,}|#{3,}|0{6,}|1{6,}|redacted|changeme|change[-_ ]me|replace[-_ ]?(?:me|with)|your[-_ ]|placeholder|not[-_ ]?a[-_ ]?secret|notreal|not[-_ ]real|"
+    r"foobar|test[-_ ]?(?:key|token|secret|password|pass)|deadbeef|123456|abcdef|qwerty|hidden[-_ ]?value|<[^>]*>|letmein|geheim123|s3cr3t|hunter2|"
+    # words that a random value may hold by chance: as a word of their own only
+    r"(?<![A-Za-z0-9])(?:example|dummy|sample|todo|fixme|insert|fake|lorem|masked|removed|none|null|undefined|here)(?![A-Za-z0-9])",
     re.I,
 )
 _REFERENCE = re.compile(r"\$\{|\$\(|\{\{|%\(|%[A-Z_]+%|^\$|^@|^<|^\{|\}$|^(?:vault|secret|secrets|ssm|env|file|arn|kms|op|aws|gcp|azure|projects|ref)[:/]|^(?:process|os|env|config|settings|self|this)\.|\)$|^/|^\.\.?/|^https?:", re.I)
@@ -416,15 +418,20 @@ def _outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def redact(text: str, mark: str = "REDACTED") -> str:
-    """The text with each credential replaced; all else stays as it is."""
+def replaced(text: str, spans: list[tuple[int, int]], mark: str = "REDACTED") -> str:
+    """The text with the mark in place of each span; all else stays as it is."""
     out, at = [], 0
-    for start, end in secrets(text):
+    for start, end in spans:
         out += [text[at:start], mark]
         at = end
     return "".join(out) + text[at:]
 
 
+def redact(text: str, mark: str = "REDACTED") -> str:
+    """The text with each credential replaced."""
+    return replaced(text, secrets(text), mark)
+
+
 def found(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``secret``, distinct. Null keys and texts that are null or empty have none; no row is capped or cut."""
     rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null and length(_text) > 5")
@@ -444,8 +451,8 @@ def redacted(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            counts = [len(secrets(t)) if t else 0 for t in frame["_text"]]
-            texts = [redact(t) if n else t for t, n in zip(frame["_text"], counts, strict=True)]
-            yield pd.DataFrame({key: frame["_key"], text: pd.Series(texts, dtype=object, index=frame.index), "n_secrets": counts})
+            spans = [secrets(t) if t else [] for t in frame["_text"]]
+            texts = [replaced(t, s) if s else t for t, s in zip(frame["_text"], spans, strict=True)]
+            yield pd.DataFrame({key: frame["_key"], text: pd.Series(texts, dtype=object, index=frame.index), "n_secrets": [len(s) for s in spans]})
 
     return rows.mapInPandas(clean, f"{key} {rows.schema['_key'].dataType.simpleString()}, {text} string, n_secrets int")
