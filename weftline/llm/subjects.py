@@ -3,19 +3,21 @@
 Complement naive Bayes is trained on labelled documents and refined by expectation
 maximisation over all the others. From the refined counts each word gets its posterior
 over the subjects; a document's share of a subject is the mean of these over its words,
-weighted by how much each word tells. A logistic curve fitted on the labelled documents
-turns each share into the probability that the subject is one of the document's, each
-independently of the others.
-
-Words are pieces of identifiers and of prose, hashed to BUCKETS numbers, so the model
-has a fixed size. Corpus statistics cover all documents; only the labelled sample is
-bounded (MOST_LABELLED documents, chosen by hash).
+weighted by how much each word tells. A logistic curve turns each share into the
+probability that the subject is one of the document's, each independently of the others.
+It is fitted on labelled documents, each with the shares it has in the model without it.
+
+Words are pieces of identifiers and of prose in any script (pairs of characters where a
+script has no spaces), hashed to BUCKETS numbers, so the model has a fixed size. Corpus
+statistics cover all documents; only the labelled sample is bounded (MOST_LABELLED
+documents, chosen by hash). Sums are taken where the documents lie and added as a tree;
+what reaches the driver has the model's size, or a few numbers a labelled document.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,23 +36,40 @@ UNLABELLED = 0.3
 #: Words that a document's score counts at most; keeps posteriors of long texts from being all or nothing.
 EFFECTIVE = 25.0
 SMOOTHING = 0.3
-#: Blocks in which the expected counts are summed.
+#: Blocks in which counts are summed, and how many parts of a block one task adds at a time.
 SLICES = 64
+FAN_IN = 128
+
+_PIECE = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
+#: Words with letters beyond ASCII: Latin ones with accents, then those of other scripts.
+_WIDE = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]{2,}|[A-ZÀ-ÖØ-Þ]{2,}|[^\W\d_A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Scripts without spaces between words.
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
-_PIECE = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+
+def words_of(text: str) -> list[str]:
+    """Words of the text, as they stand."""
+    if text.isascii():
+        return _PIECE.findall(text)
+    out = []
+    for word in _WIDE.findall(text):
+        if len(word) > 2 and _DENSE.fullmatch(word):
+            out += [word[k : k + 2] for k in range(len(word) - 1)]
+        else:
+            out.append(word)
+    return out
 
 
 def bag(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the text's words, ascending, and their counts."""
     import xxhash
 
-    words = _PIECE.findall(text)
+    words = words_of(text)
     if len(known) > 1_000_000:
         known.clear()
     for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w.lower()) % BUCKETS if 2 < len(w) < 24 else -1
-    found = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-    return np.unique(found[found >= 0], return_counts=True)
+        known[w] = xxhash.xxh3_64_intdigest(w.lower()) % BUCKETS
+    return np.unique(np.fromiter(map(known.__getitem__, words), np.int32, len(words)), return_counts=True)
 
 
 def bags(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,56 +113,79 @@ class Model:
 
     def probabilities(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if not len(words) or not float(self.tells[words] @ counts) > 0:
-            return np.full(len(self.subjects), 0.1 / len(self.subjects))  # nothing tells: none is likely, the first stands in
+            return np.zeros(len(self.subjects))  # nothing tells
         return 1 / (1 + np.exp(-(self.slope * self.shares(words, counts) + self.offset)))
 
 
+def _telling(counts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each subject by word times how much the word tells, and the latter, from counts of some words and totals of all."""
+    rate = counts / np.maximum(totals[:, None], 1e-9)
+    smooth = rate + 0.02 * rate.mean(axis=0) + 1e-6
+    by_word = smooth / smooth.sum(axis=0)
+    entropy = -(by_word * np.log(by_word)).sum(axis=0) / np.log(len(counts)) if len(counts) > 1 else np.zeros(counts.shape[1])
+    tells = np.maximum(0.0, 1 - entropy) ** 2 * (1 - np.exp(-counts.sum(axis=0) / 2))
+    return by_word * tells, tells
+
+
 def complement(counts: np.ndarray, subjects: list[str]) -> Model:
     """Complement naive Bayes from (expected) word counts, subjects x BUCKETS."""
     rest = counts.sum(axis=0) - counts + SMOOTHING
     weights = -np.log(rest / rest.sum(axis=1, keepdims=True))
     weights -= weights.mean(axis=0)
-    rate = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)
-    mean = rate.mean(axis=0)
-    smooth = rate + 0.02 * mean + 1e-6
-    by_word = smooth / smooth.sum(axis=0)
-    entropy = -(by_word * np.log(by_word)).sum(axis=0) / np.log(len(subjects)) if len(subjects) > 1 else np.zeros(counts.shape[1])
-    tells = np.maximum(0.0, 1 - entropy) ** 2 * (1 - np.exp(-counts.sum(axis=0) / 2))
-    return Model(subjects, weights.astype(np.float32), (by_word * tells).astype(np.float32), tells.astype(np.float32))
-
+    telling, tells = _telling(counts, counts.sum(axis=1))
+    return Model(subjects, weights.astype(np.float32), telling.astype(np.float32), tells.astype(np.float32))
 
-def _counts_of(sample: pd.DataFrame, subjects: int) -> np.ndarray:
-    total = np.zeros((subjects, BUCKETS))
-    for words, counts, labels in zip(sample["words"], sample["counts"], sample["labels"], strict=True):
-        n = np.log1p(np.asarray(counts))
-        for c in labels:
-            total[c, np.asarray(words, np.int64)] += n / len(labels)
-    return total
 
+def _total(table: DataFrame, rows: int, weigh: Callable[..., np.ndarray], columns: list[str]) -> np.ndarray:
+    """Sum over all documents of ``weigh(words, counts, *columns)``, rows x words each, as rows x BUCKETS.
 
-def _expected(table: DataFrame, model: Model) -> np.ndarray:
-    """Expected word counts by subject over all documents; what reaches the driver has the model's size."""
-    spark = table.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    Each partition adds up its documents; the partitions' sums are added in slices, FAN_IN at
+    a time, as a tree, so no task holds more than that however many partitions there are.
+    """
+    shape = (rows, BUCKETS // SLICES)
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        total = np.zeros((len(model.subjects), BUCKETS), np.float32)
+        from pyspark import TaskContext
+
+        total, some = np.zeros((rows, BUCKETS), np.float32), False
         for frame in frames:
-            for words, counts in zip(frame["words"], frame["counts"], strict=True):
+            for words, counts, *rest in zip(frame["words"], frame["counts"], *[frame[c] for c in columns], strict=True):
                 if len(words):
-                    total[:, words] += np.outer(model.posterior(words, counts), np.log1p(counts)).astype(np.float32)
-        parts = np.split(total, SLICES, axis=1)
-        yield pd.DataFrame({"slice": range(SLICES), "sums": [p.tobytes() for p in parts]})
+                    total[:, words] += weigh(words, np.log1p(counts), *rest)
+                    some = True
+        if some:
+            context = TaskContext.get()
+            yield pd.DataFrame({"slice": range(SLICES), "part": context.partitionId() if context else 0, "sums": [p.tobytes() for p in np.split(total, SLICES, axis=1)]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in frame["sums"])
-        return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "sums": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "part": [frame["part"].iloc[0] // FAN_IN], "sums": [total.astype(np.float32).tobytes()]})
+
+    schema = "slice int, part int, sums binary"
+    narrow = table.select("words", "counts", *columns)
+    left = narrow.rdd.getNumPartitions()
+    parts = narrow.mapInPandas(partial, schema)
+    while left > 1:
+        parts = parts.groupBy("slice", F.floor(F.col("part") / FAN_IN)).applyInPandas(lambda frame: add(frame), schema)
+        left = -(-left // FAN_IN)
+    out = np.zeros((rows, BUCKETS))
+    for row in parts.toLocalIterator():
+        at = row["slice"] * shape[1]
+        out[:, at : at + shape[1]] += np.frombuffer(row["sums"], np.float32).reshape(shape)
+    return out
+
 
-    schema = "slice int, sums binary"
-    parts = table.select("words", "counts").mapInPandas(partial, schema).groupBy("slice").applyInPandas(add, schema).toPandas().sort_values("slice")
-    shape = (len(model.subjects), BUCKETS // SLICES)
-    return np.concatenate([np.frombuffer(b, np.float32).reshape(shape) for b in parts["sums"]], axis=1).astype(np.float64)
+def _expected(table: DataFrame, model: Model) -> np.ndarray:
+    """Expected word counts by subject over all rows of the table."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
+    return _total(table, len(model.subjects), lambda words, n: np.outer(shared.value.posterior(words, np.expm1(n)), n), [])
+
+
+def _own(subjects: int, n: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """What a labelled document adds to the counts; one of several subjects counts in equal parts."""
+    out = np.zeros((subjects, len(n)))
+    out[np.asarray(labels, np.int64)] = n / len(labels)
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -161,19 +203,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return beta
 
 
-def calibrate(model: Model, sample: pd.DataFrame, trims: int = 6, surprise: float = 0.97) -> None:
-    """Fit the curve from shares to independent probabilities.
+def calibrate(model: Model, shares: np.ndarray, holds: np.ndarray, trims: int = 6, surprise: float = 0.97) -> None:
+    """Fit the curve from shares to independent probabilities; ``holds``: whether the subject is one of the document's.
 
     Some labels are wrong. They would flatten the curve, so it is fitted again without the
     labels that the curve before it holds nearly impossible, a few times over.
     """
-    x, y = [], []
-    for words, counts, labels in zip(sample["words"], sample["counts"], sample["labels"], strict=True):
-        x.append(model.shares(np.asarray(words, np.int64), np.asarray(counts)))
-        y.append(np.isin(np.arange(len(model.subjects)), labels))
-    if not x or len(model.subjects) < 2:
+    if not len(shares) or len(model.subjects) < 2:
         return
-    x, y = np.concatenate(x), np.concatenate(y).astype(float)
+    x, y = shares.ravel(), holds.ravel().astype(float)
     beta = _logistic(x, y)
     for _ in range(trims):
         p = 1 / (1 + np.exp(-np.clip(beta[0] * x + beta[1], -30, 30)))
@@ -183,6 +221,27 @@ def calibrate(model: Model, sample: pd.DataFrame, trims: int = 6, surprise: floa
         model.slope, model.offset = float(beta[0]), float(beta[1])
 
 
+def _held_out(sample: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of each labelled document in the model without it, and which subjects it has."""
+    shared, size = sample.sparkSession.sparkContext.broadcast(counts.astype(np.float32)), len(counts)
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = shared.value
+        totals = counts.sum(axis=1, dtype=np.float64)
+        for frame in frames:
+            found = []
+            for words, c, labels in zip(frame["words"], frame["counts"], frame["labels"], strict=True):
+                own = _own(size, np.log1p(c), labels)
+                telling, tells = _telling(np.maximum(counts[:, np.asarray(words, np.int64)] - own, 0.0), totals - own.sum(axis=1))
+                total = float(tells @ c)
+                found.append(telling @ c / total if total > 0 else np.full(size, 1 / size))
+            yield pd.DataFrame({"shares": found, "labels": frame["labels"]})
+
+    judged = sample.mapInPandas(judge, "shares array<double>, labels array<int>").toPandas()  # at most MOST_LABELLED rows
+    holds = np.array([np.isin(np.arange(size), x) for x in judged["labels"]])
+    return np.array([np.asarray(x) for x in judged["shares"]]), holds
+
+
 def clean_labels(labels: DataFrame, subjects: list[str], key: str = "doc_id") -> DataFrame:
     """``key`` and ``labels`` (positions in ``subjects``): spellings folded, unknown and null subjects and ids dropped."""
     name = F.lower(F.trim(F.regexp_replace("subject", r"(?U)\s+", " ")))
@@ -191,19 +250,25 @@ def clean_labels(labels: DataFrame, subjects: list[str], key: str = "doc_id") ->
 
 
 def fit(table: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", most: int = MOST_LABELLED, rounds: int = ROUNDS) -> Model:
-    """Model from the bags of all documents and the hand labels of some."""
-    chosen = clean_labels(labels, subjects, key).orderBy(F.xxhash64(key)).limit(most)
-    sample = table.join(F.broadcast(chosen), key).dropDuplicates([key]).select("words", "counts", "labels").toPandas()  # at most ``most`` rows
-    known = _counts_of(sample, len(subjects))
-    model = complement(known, subjects)
-    for _ in range(rounds if len(sample) else 0):
-        model = complement(known + UNLABELLED * _expected(table, model), subjects)
-    calibrate(model, sample)
+    """Model from the bags of all documents and the hand labels of some, at most ``most``."""
+    chosen = settle(clean_labels(labels, subjects, key).orderBy(F.xxhash64(key), key).limit(most), "labels")
+    sample = settle(table.join(F.broadcast(chosen), key).dropDuplicates([key]).where(F.size("words") > 0).select("words", "counts", "labels"), "labelled")
+    known = _total(sample, len(subjects), lambda words, n, labels: _own(len(subjects), n, labels), ["labels"])
+    model, counts = complement(known, subjects), known
+    rest = table.join(F.broadcast(chosen.select(key)), key, "left_anti")
+    for _ in range(rounds if known.any() else 0):
+        counts = known + UNLABELLED * _expected(rest, model)
+        model = complement(counts, subjects)
+    if known.any():
+        calibrate(model, *_held_out(sample, counts))
     return model
 
 
 def areas(table: DataFrame, model: Model, key: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """``key``, ``subject``, ``share`` and ``probability``: every subject of at least ``least``, else the likeliest alone."""
+    """``key``, ``subject``, ``share`` and ``probability``: every subject of at least ``least``, else the likeliest alone.
+
+    A text in which no word tells anything has no row.
+    """
     shared = table.sparkSession.sparkContext.broadcast(model)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +279,7 @@ def areas(table: DataFrame, model: Model, key: str = "doc_id", least: float = 0.
                 words, counts = np.asarray(words, np.int64), np.asarray(counts)
                 share, p = model.shares(words, counts), model.probabilities(words, counts)
                 top = int(p.argmax())
-                rows += [(k, model.subjects[c], float(share[c]), float(p[c])) for c in range(len(p)) if p[c] >= least or c == top]
+                rows += [(k, model.subjects[c], float(share[c]), float(p[c])) for c in range(len(p)) if p[top] > 0 and (p[c] >= least or c == top)]
             if rows:
                 yield pd.DataFrame(rows, columns=[key, "subject", "share", "probability"])
 
@@ -224,9 +289,9 @@ def areas(table: DataFrame, model: Model, key: str = "doc_id", least: float = 0.
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """Subject areas of every ``documents`` row that is not blank; see ``areas``.
 
-    ``subjects`` is the fixed list. Without any usable label all subjects are equally likely
-    and the first is given. A document without words gets the likeliest subject of an
-    empty text. Rows that repeat a ``doc_id`` are classified each by its own text.
+    ``subjects`` is the fixed list. A document without words, or of none that the labels or
+    the refinement have met, has no row; without any usable label no document has. Rows that
+    repeat a ``doc_id`` are classified each by its own text.
     """
     names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().collect())
     if not names:
