@@ -39,6 +39,34 @@ def test_quota_by_unit(spark):
     assert sorted(r["at"] for r in order.quota(df, "source", ["at"], F.col("n"), 100, ["doc"]).collect()) == [1, 2, 3]
 
 
+def test_skewed_groups_equal_brute_force(spark):
+    """One source holds 95 % of the rows; names clash with those inside."""
+    r = random.Random(4)
+    rows = [("big" if r.random() < 0.95 else r.choice(["a", "b", None]), k, r.randrange(1, 50), k % 7, k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "source string, at long, n int, _part int, before int").repartition(5)
+    total, place, want, every = {}, {}, set(), set()
+    size = {}
+    for source, *_ in rows:
+        size[source] = size.get(source, 0) + 1
+    for source, k, n, *_ in rows:
+        if total.get(source, 0) < 900:
+            want.add(k)
+        if place.get(source, 0) % max(1, size[source] // 40) == 0:
+            every.add(k)
+        total[source] = total.get(source, 0) + n
+        place[source] = place.get(source, 0) + 1
+    assert {x["at"] for x in order.quota(df, "source", ["at"], F.col("n"), 900).collect()} == want
+    assert {x["at"] for x in order.every_nth(df, "source", ["at"], 40).collect()} == every
+    assert order.quota(df.where("false"), "source", ["at"], F.col("n"), 900).collect() == []
+
+
+def test_groups_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(order, "MOST_GROUPS", 1)
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1), (None, 2)], "g string, at int")
+    got = {(x.g, x["at"], x.k, x.k_all) for x in order.within_groups(df, "g", ["at"], F.lit(1), "k").collect()}
+    assert got == {("a", 1, 0, 2), ("a", 2, 1, 2), ("b", 1, 0, 1), (None, 1, 0, 2), (None, 2, 1, 2)}
+
+
 def test_even_pick_and_systematic(spark):
     df = spark.range(10).withColumnRenamed("id", "k").withColumn("g", F.lit("x"))
     assert sorted(r.k for r in order.even_pick(df, ["k"], 4).collect()) == [0, 3, 6, 9]

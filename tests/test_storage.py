@@ -51,6 +51,17 @@ def test_step_folders(spark, tmp_path):
     assert [r.step for r in readers.step_folders(spark, str(tmp_path)).collect()] == [9, 10]
 
 
+def test_large_token_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "PIECE", 64)
+    target = str(tmp_path / "bins")
+    df = spark.range(500).select(F.col("id").alias("chunk_id"), F.array(F.col("id").cast("int"), F.lit(65_535), F.lit(0)).alias("ids"), F.array(F.lit(0), F.lit(1), (F.col("id") % 2).cast("int")).alias("mask"))
+    sinks.token_file(df, target).collect()
+    assert sorted((r.chunk_id, r.ids) for r in sinks.read_token_file(spark, target, 3).collect()) == [(k, [k, 65_535, 0]) for k in range(500)]
+    assert sorted((r.chunk_id, r.mask) for r in sinks.read_masks(spark, "file://" + target, 3).collect()) == [(k, [0, 1, k % 2]) for k in range(500)]
+    assert sinks.token_faults(spark, target, 3).collect() == []
+    assert sinks.token_file(df.where("false"), str(tmp_path / "none")).collect() == []
+
+
 def test_token_file_round_trip(spark, tmp_path):
     rows = [(k, [k, 65_535, 0], [0, 1, 1]) for k in range(20)]
     df = spark.createDataFrame(rows, "chunk_id long, ids array<int>, mask array<int>")

@@ -23,18 +23,28 @@ def template_cap(df: DataFrame, text: Column, order: list[str], most: int = 5) -
 def coupled(df: DataFrame, digest: Column, instruction: Column, template: Column, order: str, most: int = 5, rounds: int = 200) -> DataFrame:
     """Rows that a single pass in ``order`` would accept: text and instruction new, template below ``most``.
 
-    Only accepted rows count, so the three conditions depend on each other. In each round
-    those rows are accepted that come first, among the undecided, in all of their keys;
-    then every row that now meets an accepted text or instruction, or a full template, is
-    rejected. A row always waits only for earlier rows that share a key, so the result is
-    that of the single pass, in as many rounds as the longest chain of such waits. Beyond
-    ``rounds`` it raises instead of giving a partial result. ``order`` must be unique.
+    Only accepted rows count, so the three conditions depend on each other. A row whose text and
+    instruction occur nowhere else and whose template has at most ``most`` rows is accepted at once.
+    Of the others, with their keys alone, in each round those are accepted that come first, among
+    the undecided, in all of their keys; then every row that now meets an accepted text or
+    instruction, or a full template, is rejected. A row always waits only for earlier rows that
+    share a key, so the result is that of the single pass, in as many rounds as the longest chain
+    of such waits. Beyond ``rounds`` it raises instead of giving a partial result. ``order`` must
+    be unique.
     """
-    left = settle(df.withColumn("_d", F.sha2(digest, 256)).withColumn("_i", F.sha2(instruction, 256)).withColumn("_t", F.sha2(template, 256)).fillna("", ["_d", "_i", "_t"]), "left")
+    keyed = df.select("*", F.sha2(digest, 256).alias("_d"), F.sha2(instruction, 256).alias("_i"), F.sha2(template, 256).alias("_t")).fillna("", ["_d", "_i", "_t"])
+    counted = keyed.select(order, "_d", "_i", "_t")
+    for key in ("_d", "_i", "_t"):
+        counted = counted.join(counted.groupBy(key).agg(F.count(F.lit(1)).alias(f"_n{key}")), key)
+    counted = settle(counted, "counted")
+    free = (F.col("_n_d") == 1) & (F.col("_n_i") == 1) & (F.col("_n_t") <= most)
+    accepted = counted.where(free).select(order)
+    left = settle(counted.where(~free).select(order, "_d", "_i", "_t"), "left")
     taken: DataFrame | None = None
     for _ in range(rounds):
         if not left.head(1):
-            return (taken if taken is not None else left).drop("_d", "_i", "_t")
+            accepted = accepted if taken is None else accepted.unionByName(taken.select(order))
+            return df.join(accepted, order, "left_semi")
         ready = left
         for key in ("_d", "_i", "_t"):
             first = left.groupBy(key).agg(F.min(order).alias(f"_min{key}"))

@@ -27,7 +27,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from weftline.plans import curation, evaluation, packs, pairs, relational, small, storage  # noqa: F401
+    from weftline.plans import curation, evaluation, flows, packs, pairs, relational, small, storage  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1,8 +1,8 @@
-"""Queries over packed chunks. Samples are pairs whose ids are made from their place, so that SQL can follow."""
+"""Queries over packed chunks. Samples are pairs with an id for each code point of their whole texts, as the core has no tokenizer."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import order, packs
@@ -11,30 +11,37 @@ from weftline.session import table
 
 CHUNK = 257
 
+#: Ids of code points begin after the reserved ones (4 ends a sample, 2 and 3 are never text); code points that wouldn't fit 16 bits share one.
+FIRST_ID, UNKNOWN, MOST_POINT = 5, 1, 60_000
+
 _SAMPLES = """
 s AS (
-  SELECT pair_id, length(prompt) % 200 AS p, length(solution) % 900 + 1 AS q FROM (
+  SELECT pair_id, prompt, solution, length(prompt) AS p, length(solution) AS q FROM (
     SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY loaded_at) AS r FROM prompt_solution WHERE prompt IS NOT NULL AND solution IS NOT NULL) WHERE r = 1
 ), laid AS (
-  SELECT pair_id, p, q, p + q + 1 AS n, CAST(coalesce(sum(p + q + 1) OVER (ORDER BY pair_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM s
+  SELECT pair_id, prompt || solution AS body, p, q, p + q + 1 AS n, CAST(coalesce(sum(p + q + 1) OVER (ORDER BY pair_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM s
 )"""
 _TOKENS = (
     _SAMPLES
     + f""", tok AS (
-  SELECT pair_id, off, p, n, off + i AS pos, i, CASE WHEN i = n - 1 THEN 4 WHEN i < p THEN (pair_id * 31 + i) % 4999 + 5 ELSE (pair_id * 17 + i - p) % 4999 + 5 END AS id,
+  SELECT pair_id, off, p, n, off + i AS pos, i, CASE WHEN i = n - 1 THEN 4 WHEN unicode(substr(body, i + 1, 1)) < {MOST_POINT} THEN unicode(substr(body, i + 1, 1)) + {FIRST_ID} ELSE {UNKNOWN} END AS id,
     CASE WHEN i >= p AND i < {CHUNK} - off % {CHUNK} THEN 1 ELSE 0 END AS mask, CASE WHEN i >= p THEN 1 ELSE 0 END AS kept
   FROM laid, LATERAL (SELECT unnest(range(0, n)) AS i)
 ), total AS (SELECT sum(n) AS total FROM laid)"""
 )
 
 
+def point_ids(text: Column) -> Column:
+    """An id for each code point of the text."""
+    points = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.transform(points, lambda c: F.when(F.ascii(c) < MOST_POINT, F.ascii(c) + FIRST_ID).otherwise(UNKNOWN))
+
+
 def samples(spark: SparkSession, folder: str) -> DataFrame:
     """``pair_id``, ``ids`` and ``mask`` of each pair, the first delivery of each."""
     rows = table(spark, folder, "prompt_solution").where("prompt is not null and solution is not null")
     first = order.first_by(rows.select("pair_id", "loaded_at", "prompt", "solution"), ["pair_id"], ["loaded_at"])
-    sized = first.select("pair_id", (F.length("prompt") % 200).alias("p"), (F.length("solution") % 900 + 1).alias("q"))
-    made = lambda n, factor: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: ((F.col("pair_id") * factor + i) % 4999 + 5).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return sized.select("pair_id", F.inline(F.array(packs.sample(made(F.col("p"), 31), made(F.col("q"), 17)))))
+    return first.select("pair_id", F.inline(F.array(packs.sample(point_ids(F.col("prompt")), point_ids(F.col("solution"))))))
 
 
 @query(f"WITH {_SAMPLES} SELECT pair_id, CAST(n AS BIGINT) AS n, CAST(q + 1 AS BIGINT) AS loss FROM laid")

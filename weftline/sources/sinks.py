@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 import json
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_ID = 65_535
+#: Bytes of token files that a task reads at once; a file of any size is read in such pieces.
+PIECE = 64 << 20
+
+
+def _address(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as every executor reaches it; without one the cluster's default holds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _file_system(address: str):  # noqa: ANN202
+    """(file system, path) of an address: shared folders, HDFS and object stores alike."""
+    from pyarrow import fs
+
+    scheme, _, rest = address.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
 
 
 def json_by_split(df: DataFrame, folder: str, split: str = "split", append: bool = False) -> None:
@@ -30,76 +48,79 @@ def read_csv_log(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def token_file(df: DataFrame, folder: str, with_mask: bool = True) -> DataFrame:
     """Write chunks as unsigned 16-bit ids (and 8-bit masks), a pair of files for each range of chunks.
 
-    Files are named by their first chunk, so that by name they are the stream. An id that doesn't
-    fit fails the job. A task that is run again writes the same files anew, each put in place by a
-    rename. Gives ``first_chunk``, ``n_chunks`` and ``n_tokens`` of each file.
+    ``folder`` lies on a file system that all executors share. Files are named by their first chunk,
+    so that by name they are the stream. An id that doesn't fit fails the job. A task that is run
+    again writes the same files anew, each put in place by a rename. Gives ``first_chunk``,
+    ``n_chunks`` and ``n_tokens`` of each file.
     """
     spark = df.sparkSession
-    spark.sparkContext._jvm  # noqa: B018
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     checked = df.withColumn("_ok", F.assert_true(F.forall("ids", lambda i: (i >= 0) & (i <= MOST_ID)), F.lit("an id doesn't fit 16 bits")))
     laid = checked.where("_ok is null").select("chunk_id", "ids", *(["mask"] if with_mask else [])).repartitionByRange(width, "chunk_id").sortWithinPartitions("chunk_id")
-    target = folder.removeprefix("file://")
+    address = _address(spark, folder)
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
         import uuid
+        from contextlib import ExitStack
 
-        os.makedirs(target, exist_ok=True)
+        files, target = _file_system(address)
+        files.create_dir(target, recursive=True)
         first, chunks, tokens = None, 0, 0
-        mark = uuid.uuid4().hex
-        part = os.path.join(target, f".{mark}")
-        with open(part + ".bin", "wb") as ids, open(part + "_mask.bin", "wb") as mask:
+        ends = {".bin": ("ids", "<u2"), "_mask.bin": ("mask", "u1")} if with_mask else {".bin": ("ids", "<u2")}
+        part = f"{target}/_part-{uuid.uuid4().hex}"
+        with ExitStack() as open_files:
+            outs = {end: open_files.enter_context(files.open_output_stream(part + end)) for end in ends}
             for frame in frames:
-                for k, row in enumerate(frame["ids"]):
-                    first = int(frame["chunk_id"].iloc[k]) if first is None else first
-                    ids.write(struct.pack(f"<{len(row)}H", *(int(i) for i in row)))
-                    if with_mask:
-                        mask.write(bytes(int(m) for m in frame["mask"].iloc[k]))
-                    chunks, tokens = chunks + 1, tokens + len(row)
-        if first is None:
-            os.remove(part + ".bin")
-            os.remove(part + "_mask.bin")
-            return
-        os.replace(part + ".bin", os.path.join(target, f"part-{first:012d}.bin"))
-        if with_mask:
-            os.replace(part + "_mask.bin", os.path.join(target, f"part-{first:012d}_mask.bin"))
-        else:
-            os.remove(part + "_mask.bin")
-        yield pd.DataFrame({"first_chunk": [first], "n_chunks": [chunks], "n_tokens": [tokens]})
+                if not len(frame):
+                    continue
+                first = int(frame["chunk_id"].iloc[0]) if first is None else first
+                for end, (column, kind) in ends.items():
+                    flat = np.concatenate(frame[column].to_list()).astype(kind)
+                    outs[end].write(flat.tobytes())
+                    tokens += len(flat) if column == "ids" else 0
+                chunks += len(frame)
+        for end in ends:
+            if first is None:
+                files.delete_file(part + end)
+            else:
+                files.move(part + end, f"{target}/part-{first:012d}{end}")
+        if first is not None:
+            yield pd.DataFrame({"first_chunk": [first], "n_chunks": [chunks], "n_tokens": [tokens]})
 
     return laid.mapInPandas(put, "first_chunk long, n_chunks long, n_tokens long")
 
 
-def read_token_file(spark: SparkSession, folder: str, chunk: int) -> DataFrame:
-    """``chunk_id`` and ``ids`` of a token file's chunks. A file whose size is no whole number of chunks fails the scan."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-????????????.bin").load(folder).select("path", "content")
+def _read_chunks(spark: SparkSession, folder: str, chunk: int, pattern: str, kind: str, column: str) -> DataFrame:
+    """Chunks of the files of a pattern, in pieces of whole chunks, so that one large file is read by many tasks."""
+    width = np.dtype(kind).itemsize * chunk
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+    whole = F.assert_true(F.col("length") % width == 0, F.concat("path", F.lit(": no whole number of chunks")))
+    step = max(1, PIECE // width)
+    pieces = files.withColumn("_ok", whole).where("_ok is null and length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {width}"), F.lit(step).cast("long"))).alias("low"))
 
     def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                if len(content) % (2 * chunk):
-                    raise ValueError(f"{path}: {len(content)} bytes are no whole number of chunks")
-                first = int(path.rsplit("part-", 1)[1][:12])
-                rows = [(first + k, list(struct.unpack_from(f"<{chunk}H", content, 2 * chunk * k))) for k in range(len(content) // (2 * chunk))]
-                yield pd.DataFrame(rows, columns=["chunk_id", "ids"])
+            for path, length, low in zip(frame["path"], frame["length"], frame["low"], strict=True):
+                system, place = _file_system(path)
+                count = min(step, int(length) // width - int(low))
+                with system.open_input_file(place) as file:
+                    file.seek(int(low) * width)
+                    table = np.frombuffer(file.read(count * width), kind).reshape(count, chunk).astype(np.int32)
+                first = int(path.rsplit("part-", 1)[1][:12]) + int(low)
+                for k in range(0, count, 4096):
+                    yield pd.DataFrame({"chunk_id": range(first + k, first + min(count, k + 4096)), column: list(table[k : k + 4096])})
 
-    return files.mapInPandas(take, "chunk_id long, ids array<int>")
+    return pieces.repartition("path", "low").mapInPandas(take, f"chunk_id long, {column} array<int>")
 
 
-def read_masks(spark: SparkSession, folder: str, chunk: int) -> DataFrame:
-    """``chunk_id`` and ``mask`` from the mask files beside a token file; a size that is no whole number of chunks fails."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-????????????_mask.bin").load(folder).select("path", "content")
+def read_token_file(spark: SparkSession, folder: str, chunk: int) -> DataFrame:
+    """``chunk_id`` and ``ids`` of a token file's chunks. A file whose size is no whole number of chunks fails the scan."""
+    return _read_chunks(spark, folder, chunk, "part-????????????.bin", "<u2", "ids")
 
-    def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                if len(content) % chunk:
-                    raise ValueError(f"{path}: {len(content)} bytes are no whole number of chunks")
-                first = int(path.rsplit("part-", 1)[1][:12])
-                yield pd.DataFrame([(first + k, list(content[chunk * k : chunk * (k + 1)])) for k in range(len(content) // chunk)], columns=["chunk_id", "mask"])
 
-    return files.mapInPandas(take, "chunk_id long, mask array<int>")
+def read_masks(spark: SparkSession, folder: str, chunk: int) -> DataFrame:
+    """``chunk_id`` and ``mask`` from the mask files beside a token file; a size that is no whole number of chunks fails."""
+    return _read_chunks(spark, folder, chunk, "part-????????????_mask.bin", "u1", "mask")
 
 
 def token_faults(spark: SparkSession, folder: str, chunk: int) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.functions.text import let, quality_reason
 from weftline.streaming import events
 
 CHUNK = 257
@@ -24,24 +26,24 @@ def cut(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, rest = state.get if state.exists else (0, [])
-        rest = list(rest)
         rows = pd.concat(list(frames), ignore_index=True).sort_values("at", kind="stable")
-        done = []
-        for ids in rows["ids"]:
-            if ids is not None:
-                rest.extend(int(i) for i in ids)
-            while len(rest) >= chunk:
-                done.append((key[0], number, rest[:chunk]))
-                number, rest = number + 1, rest[chunk:]
-        state.update((number, rest))
-        yield pd.DataFrame(done, columns=["source", "chunk_no", "ids"])
+        stream = np.concatenate([np.asarray(rest, np.int32), *(np.asarray(ids, np.int32) for ids in rows["ids"] if ids is not None)])
+        count = len(stream) // chunk
+        state.update((number + count, stream[count * chunk :].tolist()))
+        whole = stream[: count * chunk].reshape(count, chunk)
+        yield pd.DataFrame({"source": [key[0]] * count, "chunk_no": range(number, number + count), "ids": list(whole)})
 
     return df.groupBy("source").applyInPandasWithState(step, _OUT, "number bigint, rest array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
+def filtered(df: DataFrame, body: str = "text") -> DataFrame:
+    """Online filter: rows of a stream whose text is there and breaks no quality rule."""
+    return df.where(F.col(body).isNotNull()).where(let(F.col(body), lambda c: quality_reason(c).isNull()))
+
+
 def streamed(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of the pairs' solutions, a code point an id, by source."""
-    rows = events.source(spark, path).where("solution is not null")
-    ids = F.transform(F.split("solution", ""), lambda c: F.ascii(c))
+    """Filter, encode and pack the pairs' solutions as they come, an id a code point, by source."""
+    rows = filtered(events.source(spark, path), "solution")
+    ids = F.transform(F.regexp_extract_all("solution", F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c))
     made = cut(rows.select(F.coalesce("source", F.lit("none")).alias("source"), F.col("pair_id").alias("at"), ids.alias("ids")))
     return events.result(spark, events.run_available(made), made.schema).select("source", "chunk_no", "ids")
