@@ -9,9 +9,11 @@ Everything but the last step works on the histogram of sizes, which has at most
    they use up the histogram, and round down;
 3. pack what remains greedily, largest first, a whole run of equal containers at a time.
 
-The result is a list of runs of equal containers. Each document then takes its place by
-its rank among the documents of its size: rank by salted counting, place by a lookup in
-the runs. No group of equal sizes is ever gathered in one task.
+Several windows and numbers of rounds are tried, each by a task of its own; what takes the
+fewest containers counts. The result is a list of runs of equal containers. Each document
+then takes its place by its rank among the documents of its size: rank by salted counting,
+with as many salts as the size's count asks for, place by a lookup in the runs. No group of
+equal sizes is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.tokens import with_ids
 from weftline.session import settle
 
-#: Parts into which the documents of one size are split for ranking.
-SALTS = 64
+#: Documents of one size that are ranked together, on average; a size of more is split by a salt.
+RANKED = 50_000
 
 
 def combinations(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int, per_size: int = 6) -> list[tuple[int, ...]]:
@@ -135,18 +137,21 @@ def _runs(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int, rou
     return runs + _greedy(sizes, rest, capacity)
 
 
-def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int | None = None) -> pd.DataFrame:
+def _options(capacity: int) -> list[tuple[int, int]]:
+    """Windows and rounds of least squares that are tried."""
+    return [(w, rounds) for w in sorted({0, capacity // 1024, capacity // 512, capacity // 128}) for rounds in (1, 4)]
+
+
+def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int, rounds: int) -> pd.DataFrame:
     """Runs of equal containers that hold exactly ``counts[k]`` items of ``sizes[k]``.
 
     One row for each run and size in it: ``size``, ``low`` and ``high`` (the ranks within
     the size that go to this run), ``base`` (the run's first container), ``each`` (items of
-    this size in each of its containers). Without a ``window`` a few are tried, with one
-    round of least squares and with several, and what takes the fewest containers counts.
+    this size in each of its containers), ``total`` (containers of all runs).
     """
     order = np.argsort(sizes)
     sizes, counts = np.asarray(sizes, np.int64)[order], np.asarray(counts, np.int64)[order]
-    windows = sorted({0, capacity // 1024, capacity // 512, capacity // 128}) if window is None else [window]
-    runs = min((_runs(sizes, counts, capacity, w, rounds) for w in windows for rounds in (1, 4)), key=lambda found: sum(times for _, times in found))
+    runs = _runs(sizes, counts, capacity, window, rounds)
     used = np.zeros(len(sizes), np.int64)
     base, rows = 0, []
     for inside, times in runs:
@@ -154,7 +159,28 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int | Non
             rows.append((int(sizes[k]), int(used[k]), int(used[k] + n * times), base, n))
             used[k] += n * times
         base += times
-    return pd.DataFrame(rows, columns=["size", "low", "high", "base", "each"]).astype("int64")
+    return pd.DataFrame(rows, columns=["size", "low", "high", "base", "each"]).astype("int64").assign(total=base)
+
+
+_PLAN = "profile string, size long, low long, high long, base long, each long, total long, option int"
+
+
+def _planned(spark: SparkSession, histogram: pd.DataFrame, settings: list[tuple[str, int]]) -> pd.DataFrame:
+    """The best plan of each profile; every option is planned by a task of its own."""
+    tasks = [(p, c, w, rounds, k) for p, c in settings for k, (w, rounds) in enumerate(_options(c))]
+    shared = spark.sparkContext.broadcast({p: part[["_l", "_m"]].to_numpy().T.copy() for p, part in histogram.groupby("_p")})
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for profile, capacity, window, rounds, option in frame.itertuples(index=False):
+                if profile in shared.value:
+                    yield plan(*shared.value[profile], int(capacity), int(window), int(rounds)).assign(profile=profile, option=option)[[c.split()[0] for c in _PLAN.split(", ")]]
+
+    made = spark.createDataFrame(tasks, "profile string, capacity long, window long, rounds long, option int")
+    spread = made.repartitionByRange(len(tasks), "profile", "option")
+    plans = settle(spread.mapInPandas(work, _PLAN), "plans")
+    best = plans.groupBy("profile").agg(F.min(F.struct("total", "option")).alias("b")).select("profile", F.col("b.option").alias("option"))
+    return plans.join(F.broadcast(best), ["profile", "option"]).toPandas()  # runs of one option a profile; at most a few for each size
 
 
 def pack(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -187,22 +213,24 @@ def pack(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id") -> DataFram
         .select("_key", "_n", F.col("o.p").alias("_p"), F.col("o.c").alias("_c"))
         .select("*", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / F.col("_c")).cast("int"))).alias("_i"))
         .select("_key", "_p", "_i", (F.col("_i") * F.col("_c")).alias("_s"), F.least("_c", F.col("_n") - F.col("_i") * F.col("_c")).alias("_l"))
-        .withColumn("_salt", F.pmod(F.xxhash64("_key", "_i"), F.lit(SALTS)))
     )
-    by_salt = pieces.groupBy("_p", "_l", "_salt").agg(F.count(F.lit(1)).alias("_m"))
-    # at most capacity x SALTS x profiles rows: bounded by the settings, not by the corpus
-    table = by_salt.toPandas().sort_values(["_p", "_l", "_salt"])
-    table["_at"] = table.groupby(["_p", "_l"])["_m"].cumsum() - table["_m"]
-    offsets, runs = {}, {}
-    for (profile, length), part in table.groupby(["_p", "_l"]):
-        line = np.zeros(SALTS, np.int64)
-        line[part["_salt"].to_numpy()] = part["_at"].to_numpy()
-        offsets[profile, int(length)] = line
-    for profile, capacity in settings:
-        mine = table[table["_p"] == profile].groupby("_l")["_m"].sum()
-        done = plan(mine.index.to_numpy(), mine.to_numpy(), capacity) if len(mine) else pd.DataFrame()
-        for size, part in done.groupby("size") if len(done) else ():
-            runs[profile, int(size)] = part.sort_values("low")[["low", "base", "each"]].to_numpy().T.copy()
+    # at most capacity x profiles rows: bounded by the settings, not by the corpus
+    histogram = pieces.groupBy("_p", "_l").agg(F.count(F.lit(1)).alias("_m")).toPandas()
+    if not len(histogram):
+        return spark.createDataFrame([], schema)
+    histogram["_k"] = -(-histogram["_m"] // RANKED)
+    salts = spark.createDataFrame(histogram[["_p", "_l", "_k"]], "_p string, _l long, _k long")
+    salted = pieces.join(F.broadcast(salts), ["_p", "_l"]).withColumn("_salt", F.pmod(F.xxhash64("_key", "_i"), F.col("_k"))).drop("_k")
+    # what a salt's documents rank after: a row for every RANKED documents of a size that has more
+    split = salted.join(F.broadcast(salts.where("_k > 1").select("_p", "_l")), ["_p", "_l"], "left_semi")
+    by_salt = split.groupBy("_p", "_l", "_salt").agg(F.count(F.lit(1)).alias("_m")).toPandas().sort_values(["_p", "_l", "_salt"])
+    by_salt["_at"] = by_salt.groupby(["_p", "_l"])["_m"].cumsum() - by_salt["_m"]
+    offsets = {(p, int(n)): np.zeros(int(k), np.int64) for p, n, k in histogram[["_p", "_l", "_k"]].itertuples(index=False)}
+    for (profile, length), part in by_salt.groupby(["_p", "_l"]):
+        offsets[profile, int(length)][part["_salt"].to_numpy()] = part["_at"].to_numpy()
+    runs = {}
+    for (profile, size), part in _planned(spark, histogram, settings).groupby(["profile", "size"]):
+        runs[profile, int(size)] = part.sort_values("low")[["low", "base", "each"]].to_numpy().T.copy()
     shared = spark.sparkContext.broadcast((offsets, runs))
 
     def seat(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,9 +245,7 @@ def pack(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id") -> DataFram
                 container[at] = base[k] + (rank - low[k]) // each[k]
             yield pd.DataFrame({"profile": frame["_p"], "container": container, key: frame["_key"], "piece": frame["_i"], "start": frame["_s"], "length": frame["_l"]})
 
-    from pyspark.sql import Window
-
-    ranked = pieces.withColumn("_r", F.row_number().over(Window.partitionBy("_p", "_l", "_salt").orderBy("_key", "_i")).cast("long"))
+    ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy("_p", "_l", "_salt").orderBy("_key", "_i")).cast("long"))
     return ranked.mapInPandas(seat, schema)
 
 
