@@ -46,7 +46,9 @@ def test_long_unbroken_text(unit):
     assert tokens.join_tree([(p, tool().encode(p)) for p in pieces], tool()) == tool().encode(text)
 
 
-def test_ids_of_a_table(spark):
+@pytest.mark.parametrize("fan_in", [16, 2])
+def test_ids_of_a_table(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(tokens, "FAN_IN", fan_in)
     long = "".join(random.Random(3).choice(["def f(x):\n", "    return x + 1\n", "é ", "x" * 300, "==" * 90]) for _ in range(900))
     df = docs(spark, [(1, None), (2, ""), (3, "hello <|endoftext|>"), (4, long), (5, long), (6, long + "y"), (6, long + "y"), (None, "z")])
     got = [(r.doc_id, r.ids) for r in tokens.with_ids(df, long_chars=1000, segment_chars=333).collect()]

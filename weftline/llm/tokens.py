@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts up to so many characters are encoded in one go.
-LONG_CHARS = 49_152
+LONG_CHARS = 16_384
 #: Characters of a segment of a longer text.
-SEGMENT_CHARS = 16_384
+SEGMENT_CHARS = 8_192
+#: Neighbouring parts that one task joins on each level of the tree.
+FAN_IN = 16
 
 
 def tokenizer_folder() -> str:
@@ -197,19 +199,26 @@ def with_ids(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str
             yield frame
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        tool = codec(folder)
+        """Neighbouring parts as one."""
         frame = frame.sort_values("seg")
-        ids = join_tree(list(zip(frame["part"], (list(map(int, x)) for x in frame["ids"]), strict=True)), tool)
-        return pd.DataFrame({"_hash": [frame["_hash"].iloc[0]], name: [len(ids) if only_length else ids]})
+        ids = join_tree(list(zip(frame["part"], (list(map(int, x)) for x in frame["ids"]), strict=True)), codec(folder))
+        return pd.DataFrame({"_hash": [frame["_hash"].iloc[0]], "seg": [int(frame["seg"].iloc[0]) // FAN_IN], "part": ["".join(frame["part"])], "ids": [ids]})
 
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    segments = (
+    longest = late.agg(F.max(F.length("_text"))).head()[0] or 0
+    part = "_hash string, seg int, part string, ids array<int>"
+    level = (
         late.select("_hash", "_text")
         .dropDuplicates(["_hash"])
         .mapInPandas(cut, "_hash string, seg int, part string")
         .repartition(width, "_hash", "seg")
-        .mapInPandas(encode, "_hash string, seg int, part string, ids array<int>")
+        .mapInPandas(encode, part)
     )
-    merged = segments.groupBy("_hash").applyInPandas(merge, f"_hash string, {value}")
+    # each level joins FAN_IN neighbours a task, so that many tasks work on one very long text
+    left = -(-longest // segment_chars)
+    while left > 1:
+        level = level.groupBy("_hash", F.floor(F.col("seg") / FAN_IN)).applyInPandas(merge, part)
+        left = -(-left // FAN_IN)
+    merged = level.select("_hash", F.size("ids").cast("long").alias(name) if only_length else F.col("ids").alias(name))
     joined = late.select("_key", "_hash").join(merged, "_hash").select("_key", name)
     return direct.unionByName(joined).withColumnRenamed("_key", key)
