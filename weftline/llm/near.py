@@ -28,7 +28,7 @@ BLOCKS, WIDTH = 44, 3
 POSITIONS = BLOCKS * WIDTH
 #: Positions of which two bits make the print that Hamming distances are taken of.
 PRINTED = 128
-#: Of the 256 bits. At a similarity of 0.6 the distance is 51 on average with a deviation of 7.5.
+#: Of the 256 bits. At a similarity of 0.6 the distance is 51 on average with a deviation of 7.5, so one pair in a million is beyond this.
 MOST_BITS = 86
 HOT_BLOCK = 64
 #: Members of two classes (or one) whose pairs are all written out; in larger ones exact copies are tied to the first of their text.
@@ -142,11 +142,13 @@ class Similar:
 
     ``records``: ``set`` (name of the record set), ``id``, ``text``; rows with a null id are left
     out. Null texts and texts of fewer than three words are in no class. Rows that repeat an id
-    are versions of one record, which is similar to others if any version is.
+    are versions of one record, which is similar to others if any version is. ``expand``: members
+    of classes whose pairs ``found`` writes out in full, else EXPAND.
     """
 
-    def __init__(self, records: DataFrame, threshold: float = 0.6) -> None:
+    def __init__(self, records: DataFrame, threshold: float = 0.6, expand: int | None = None) -> None:
         self.threshold = threshold
+        self.expand = EXPAND if expand is None else expand
         source = records.select("set", F.col("id").cast("bigint").alias("id"), "text").where("id is not null and set is not null and text is not null")
         self.table = settle(source.mapInPandas(_records, _RECORD), "records")
         members = self.table.select("set", "c1", "c2", "id", "n")
@@ -158,9 +160,9 @@ class Similar:
         several = self.classes.where("size > 1")
         copies = settle(self.table.select("set", "c1", "c2", "id").join(self._small(several.select("set", "c1", "c2", "rep"), several), ["set", "c1", "c2"]).where("id <> rep").select("set", "id", "c1", "c2").distinct(), "copies")
         heads = self.table.join(self._small(copies, copies), ["set", "id", "c1", "c2"], "left_anti")
-        width = self.table.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        lines = heads.select("set", "id", F.explode("blocks").alias("key")).repartition(int(width), "set", "key")
-        sizes = lines.groupBy("set", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        lines = heads.select("set", "id", F.explode("blocks").alias("key"))
+        # blocks are counted by partial sums first; both sides of the join are plain exchanges then, of which a hot block is split
+        sizes = settle(lines.groupBy("set", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
         shared = settle(lines.join(sizes, ["set", "key"]), "shared")
         few = shared.where(F.col("m") <= HOT_BLOCK)
         met = few.alias("x").join(few.alias("y"), ["set", "key"]).where("x.id < y.id").select("set", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
@@ -212,16 +214,16 @@ class Similar:
         """``record_set``, ``id_a`` < ``id_b``: the similar pairs of records.
 
         Pairs within a class, and between two similar classes, are all written out while the
-        classes (for two: their product) have at most EXPAND (its square) members. Beyond that
+        classes (for two: their product) have at most ``expand`` (its square) members. Beyond that
         each exact copy is paired with the first record of its text, and these with each other,
         within the class and across, so that all different texts are linked.
         """
         rows = self.table.select("set", "c1", "c2", "id", "t").distinct().join(self.classes.select("set", "c1", "c2", "rep", "size"), ["set", "c1", "c2"])
         rows = rows.select("set", "id", "t", "rep", "size")
         many = rows.where("size > 1")
-        small = many.where(F.col("size") <= EXPAND).select("set", "rep", "id").distinct()
+        small = many.where(F.col("size") <= self.expand).select("set", "rep", "id").distinct()
         inside = small.alias("x").join(small.alias("y"), ["set", "rep"]).where("x.id < y.id").select("set", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        large = many.where(F.col("size") > EXPAND)
+        large = many.where(F.col("size") > self.expand)
         firsts = large.groupBy("set", "rep", "t").agg(F.min("id").alias("first"))
         star = large.join(firsts, ["set", "rep", "t"]).where("id <> first").select("set", F.col("first").alias("a"), F.col("id").alias("b"))
         texts = firsts.select("set", "rep", F.col("first").alias("id")).distinct()
@@ -239,8 +241,8 @@ class Similar:
             )
 
         ids = rows.select("set", "rep", "id")
-        spread = between(sized.where(f"(sa > 1 or sb > 1) and sa * sb <= {EXPAND * EXPAND}"), ids)
-        vast = sized.where(f"sa * sb > {EXPAND * EXPAND}")
+        spread = between(sized.where(f"(sa > 1 or sb > 1) and sa * sb <= {self.expand**2}"), ids)
+        vast = sized.where(f"sa * sb > {self.expand**2}")
         inside = inside.union(across)
         if vast.head(1):
             spread = spread.union(between(vast, rows.groupBy("set", "rep", "t").agg(F.min("id").alias("id"))))
