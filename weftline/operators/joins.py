@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.order import first_by
+from weftline.session import settle
 
 
 def base_id(c: Column) -> Column:
@@ -60,7 +61,8 @@ def nearest(left: DataFrame, right: DataFrame, at: str, value: str, within: int)
     as the reach: a row looks into its own bucket and the two beside it.
     """
     bucket = F.floor(F.col(at) / within).cast("long")
-    a = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    # ids are written once: a stage that is run again could number the rows another way
+    a = settle(left.withColumn("_id", F.monotonically_increasing_id()), "numbered").withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     b = right.select(F.col(at).alias("_at"), F.col(value).alias(f"{value}_right")).withColumn("_b", F.floor(F.col("_at") / within).cast("long"))
     near = a.join(b, "_b").where(F.abs(F.col(at) - F.col("_at")) <= within).withColumn("_gap", F.abs(F.col(at) - F.col("_at")))
     keys = [c for c in left.columns]

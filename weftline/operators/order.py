@@ -88,8 +88,8 @@ def at_most(df: DataFrame, keys: list[str], order: list[str], most: int) -> Data
 
 
 def hashed_sample(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
-    """``size`` rows that depend on nothing but their keys and the seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key).limit(size)
+    """``size`` rows that depend on nothing but their keys and the seed; of the MD5 of both, so that other systems can follow."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(size)
 
 
 def every_nth(df: DataFrame, group: str, order: list[str], target: int) -> DataFrame:

@@ -187,6 +187,12 @@ def s_strip_meta_lines(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.md5(text.strip_meta_lines(F.col("text"), chained=False)).alias("digest"))
 
 
+@query(r"SELECT doc_id, md5(regexp_replace(text, '(?m)^(?:<(?:gh_stars|reponame|filename)>[^<\n]*)+\n?', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
+def s_strip_meta_chained(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags chained on one line all go."""
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.md5(text.strip_meta_lines(F.col("text"))).alias("digest"))
+
+
 _KEY = r"md5(regexp_replace(regexp_replace({c}, '''(?:[^''\\\n]|\\.)*''|\"(?:[^\"\\\n]|\\.)*\"', 'S', 'g'), '[0-9]+', 'N', 'g'))"
 
 
@@ -298,7 +304,14 @@ def d_row_limit(spark: SparkSession, folder: str) -> DataFrame:
     return order.at_most(table(spark, folder, "documents").select("doc_id", "source", "seq"), ["source"], ["seq", "doc_id"], 50).select("doc_id", "source")
 
 
-@query()
+@query(
+    """
+WITH d AS (SELECT doc_id, n_chars, CASE WHEN CAST('0x' || left(md5(left(text, 200)), 8) AS BIGINT) % 5000 = 0 THEN 'val' ELSE 'train' END AS split FROM documents WHERE n_chars > 0),
+h AS (SELECT coalesce(sum(n_chars) FILTER (WHERE split = 'val'), 0) AS have FROM d),
+r AS (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d WHERE split = 'train')
+SELECT doc_id, n_chars, CASE WHEN before < 50000 - have THEN 'val' ELSE 'train' END AS split FROM r, h UNION ALL SELECT doc_id, n_chars, split FROM d WHERE split = 'val'
+"""
+)
 def d_val_promote(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").where("n_chars > 0").select("doc_id", "n_chars", splits.md5_split(F.col("text"), 5000).alias("split"))
     return splits.promote(docs, "n_chars", "doc_id", 50_000)
@@ -319,7 +332,7 @@ def t_systematic(spark: SparkSession, folder: str) -> DataFrame:
     return order.every_nth(table(spark, folder, "documents").select("doc_id", "source", "seq"), "source", ["seq", "doc_id"], 40).select("doc_id", "source")
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 200")
 def t_reservoir(spark: SparkSession, folder: str) -> DataFrame:
     return order.hashed_sample(table(spark, folder, "documents").select("doc_id", "source"), "doc_id", 200)
 

@@ -262,7 +262,7 @@ def t_window_last(spark: SparkSession, folder: str) -> DataFrame:
     return _log(spark, folder).withColumn("top", last).where(F.col("step") >= F.col("top") - 500).select("run_id", "step")
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 250")
 def t_val_chunks(spark: SparkSession, folder: str) -> DataFrame:
     from weftline.operators.order import hashed_sample
 

@@ -118,6 +118,44 @@ def r_approximate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS VARCHAR) AS revenue, count(*) AS n FROM lineitem GROUP BY 1")
+def r_decimal(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact sums of decimal products, without the rounding of doubles."""
+    net = F.col("l_extendedprice").cast("decimal(12,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
+    return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.sum(net).cast("decimal(30,4)").cast("string").alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate + INTERVAL 1 MONTH AND l_shipdate < o_orderdate + INTERVAL 1 MONTH + INTERVAL 10 DAY")
+def r_interval(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines shipped in the ten days after a month from the order."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    both = lines.join(table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    return both.where("l_shipdate >= o_orderdate + interval 1 month and l_shipdate < o_orderdate + interval 1 month + interval 10 day").select("l_orderkey", "l_linenumber")
+
+
+@query(
+    """
+SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q, CAST(max(day(last_day(o_orderdate))) AS BIGINT) AS longest, CAST(sum(date_diff('day', CAST(date_trunc('month', o_orderdate) AS DATE), CAST(o_orderdate AS DATE))) AS BIGINT) AS days,
+  count(*) FILTER (WHERE dayofweek(o_orderdate) = 0) AS sundays FROM orders GROUP BY 1, 2
+"""
+)
+def r_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    """Calendar arithmetic by quarter."""
+    day = F.col("o_orderdate").cast("date")
+    return table(spark, folder, "orders").groupBy(F.year(day).alias("y"), F.quarter(day).alias("q")).agg(
+        F.max(F.dayofmonth(F.last_day(day))).cast("long").alias("longest"), F.sum(F.datediff(day, F.trunc(day, "month"))).alias("days"), F.count_if(F.dayofweek(day) == 1).alias("sundays")
+    )
+
+
+@query("SELECT p_partkey, round(sqrt(p_retailprice), 6) AS root, round(ln(1 + p_size), 6) AS log, round(power(1.01, p_size), 6) AS power, CAST(p_size % 7 AS INTEGER) AS rest, CAST(ceil(p_retailprice / 3) AS BIGINT) AS up, CAST(floor(-p_retailprice / 3) AS BIGINT) AS down, CAST(sign(p_size - 25) AS DOUBLE) AS side FROM part")
+def r_math(spark: SparkSession, folder: str) -> DataFrame:
+    price, size = F.col("p_retailprice"), F.col("p_size")
+    return table(spark, folder, "part").select(
+        "p_partkey", F.round(F.sqrt(price), 6).alias("root"), F.round(F.log1p(size), 6).alias("log"), F.round(F.pow(F.lit(1.01), size), 6).alias("power"), (size % 7).alias("rest"),
+        F.ceil(price / 3).alias("up"), F.floor(-price / 3).alias("down"), F.signum(size - 25).alias("side"),
+    )
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def w_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     return events.tumbling(table(spark, folder, "events"), "1 hour")
@@ -158,3 +196,21 @@ def w_streamed_packing(spark: SparkSession, folder: str) -> DataFrame:
     from weftline.streaming import packer
 
     return packer.streamed(spark, f"{folder}/prompt_solution.parquet")
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
+def w_streamed_unique(spark: SparkSession, folder: str) -> DataFrame:
+    """First of the events with equal ids, by a stream; all repeats lie within the watermark."""
+    rows = events.source(spark, f"{folder}/events.parquet").select("event_id", "user_id", "event_type", "ts")
+    out = events.unique(rows, ["event_id"], "3650 days").select("event_id", "user_id", "event_type")
+    return events.result(spark, events.run_available(out), out.schema).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id FROM events")
+def w_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream that ends and is run again on the same checkpoint: no row twice, none missing."""
+    rows = lambda: events.source(spark, f"{folder}/events.parquet").select("event_id")
+    first = rows()
+    place = events.run_available(first)
+    events.run_available(rows(), folder=place)
+    return events.result(spark, place, first.schema).select("event_id")

@@ -99,10 +99,15 @@ def sink_bin_mem(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder).withColumn("ok", fits).where("ok is null").select("chunk_id", F.array_max("ids").cast("long").alias("max_id"))
 
 
-@query()
+@query(
+    """
+SELECT pair_id, prompt, solution, source FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY loaded_at) AS r FROM prompt_solution WHERE solution IS NOT NULL)
+WHERE r = 1 ORDER BY md5('42:' || pair_id), pair_id LIMIT 200
+"""
+)
 def sink_review(spark: SparkSession, folder: str) -> DataFrame:
-    """200 pairs for a look by people, the same at every run."""
-    rows = table(spark, folder, "prompt_solution").where("solution is not null").dropDuplicates(["pair_id"])
+    """200 pairs for a look by people, the same at every run; of a pair delivered again the first."""
+    rows = order.first_by(table(spark, folder, "prompt_solution").where("solution is not null"), ["pair_id"], ["loaded_at"])
     return order.hashed_sample(rows, "pair_id", 200).select("pair_id", "prompt", "solution", "source")
 
 
@@ -125,7 +130,7 @@ def s_file_bucket(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select("id", F.when(F.startswith("id", F.lit("held")), "heldout").when(F.contains("id", F.lit("noise20")), "noise20").otherwise("5-run").alias("bucket"))
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def t_random_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return order.hashed_sample(table(spark, folder, "documents").select("doc_id"), "doc_id", 100)
 
@@ -147,12 +152,12 @@ def v_pad_unk(spark: SparkSession, folder: str) -> DataFrame:
     return samples(spark, folder).agg(count(2).alias("n_unk"), count(3).alias("n_pad"))
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS faults FROM (SELECT DISTINCT id, prompt FROM problems WHERE prompt IS NOT NULL)")
+@query("SELECT DISTINCT id, md5('### Task' || chr(10) || prompt || chr(10) || chr(10) || '### Code' || chr(10)) AS digest, true AS good FROM problems WHERE prompt IS NOT NULL")
 def v_template_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompts begin with the template's head and end with its tail."""
-    rows = table(spark, folder, "problems").where("prompt is not null").select("id", "prompt").distinct().select(text.prompt(F.col("prompt")).alias("p"))
+    """Prompts in the template, and whether they begin with its head and end with its tail."""
+    rows = table(spark, folder, "problems").where("prompt is not null").select("id", "prompt").distinct().select("id", text.prompt(F.col("prompt")).alias("p"))
     good = F.startswith("p", F.lit("### Task\n")) & F.endswith("p", F.lit("### Code\n"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~good).alias("faults"))
+    return rows.select("id", F.md5("p").alias("digest"), good.alias("good"))
 
 
 @query(f"WITH {_TOKENS} SELECT CAST(sum(1) // {CHUNK} * {CHUNK} AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS faults FROM tok")
@@ -205,14 +210,12 @@ def v_selftest(spark: SparkSession, folder: str) -> DataFrame:
     return cases.select("name", got.eqNullSafe(F.col("want")).alias("ok"))
 
 
-@query("SELECT a.vec_id, true AS ok FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("SELECT a.vec_id, list_transform(range(1, 9), lambda i: round(0.75 * CAST(a.embedding[i] AS DOUBLE) + 0.25 * CAST(b.embedding[i] AS DOUBLE), 6)) AS first8 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def v_blend_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 8 elements of each blend against the formula, by element."""
+    """The first 8 elements of each blend with the next vector."""
     v = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
-    made = evals.blend(F.col("a"), F.col("b"), 0.25)
-    same = F.forall(F.sequence(F.lit(1), F.lit(8)), lambda i: F.abs(F.element_at(made, i) - (0.75 * F.element_at("a", i) + 0.25 * F.element_at("b", i))) < 1e-9)
-    return pairs.select("vec_id", same.alias("ok"))
+    return pairs.select("vec_id", F.transform(F.slice(evals.blend(F.col("a"), F.col("b"), 0.25), 1, 8), lambda x: F.round(x, 6)).alias("first8"))
 
 
 @query()
@@ -237,18 +240,18 @@ def u_blake2b(spark: SparkSession, folder: str) -> DataFrame:
     return texts(spark, folder).where("text is not null").select("doc_id", F.hex(text.blake2b8(F.col("text"))).alias("digest"))
 
 
-@query("SELECT count(*) AS n, CAST(10 AS BIGINT) AS n_columns FROM documents")
+@query("SELECT count(*) AS n, CAST((SELECT count(*) FROM (DESCRIBE documents)) AS BIGINT) AS n_columns FROM documents")
 def z_schema_preview(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "documents")
     seen = readers.preview(df)
     return spark.createDataFrame([(seen["rows"], len(df.columns))], "n long, n_columns long")
 
 
-@query("SELECT true AS same")
+@query("SELECT seed, doc_id FROM (SELECT s AS seed, doc_id, row_number() OVER (PARTITION BY s ORDER BY md5(s || ':' || doc_id), doc_id) AS r FROM documents, (VALUES (9), (10)) v(s)) WHERE r <= 50")
 def z_seed_everything(spark: SparkSession, folder: str) -> DataFrame:
-    """Two samples with one seed are the same rows."""
+    """A sample for each of two seeds; the same rows at every run."""
     df = table(spark, folder, "documents").select("doc_id")
-    a, b = (order.hashed_sample(df, "doc_id", 50, 9) for _ in range(2))
-    return a.exceptAll(b).agg((F.count(F.lit(1)) == 0).alias("same"))
+    a, b = (order.hashed_sample(df, "doc_id", 50, seed).select(F.lit(seed).alias("seed"), "doc_id") for seed in (9, 10))
+    return a.unionByName(b)
 
 

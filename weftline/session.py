@@ -7,8 +7,10 @@ import os
 import shutil
 import tempfile
 import uuid
+import warnings
 import zipfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -48,12 +50,17 @@ def shared_folder(spark: SparkSession) -> str:
 _SETTLED: list[str] = []
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def _remove(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder could be removed; with the session gone only a local one can."""
     try:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may be gone already; the folder belongs to the cluster then
-        pass
+    except (Py4JError, ConnectionError, AttributeError):
+        local = folder.removeprefix("file://")
+        if not os.path.isdir(local):
+            return False
+        shutil.rmtree(local, ignore_errors=True)
+    return True
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
@@ -73,8 +80,10 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
 
 def forget(spark: SparkSession) -> None:
     """Remove the tables settled so far. Results that still read them must have been written by then."""
-    while _SETTLED:
-        _remove(spark, _SETTLED.pop())
+    kept = [folder for folder in _SETTLED if not _remove(spark, folder)]
+    _SETTLED.clear()
+    if kept:
+        warnings.warn(f"{len(kept)} settled tables are left, the first in {kept[0]}", stacklevel=2)
 
 
 _SHIPPED: set[str] = set()
