@@ -313,6 +313,9 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
         ("get('https://x.example/a?api_key=21c532b01d05df4749a7f607381ed208')", "21c532b01d05df4749a7f607381ed208"),
         ("# login ann / Harbor!Lartor6359", "Harbor!Lartor6359"),
         ("mot_de_passe = u'pelpelvos74093%'", "pelpelvos74093%"),
+        ('export SCHLUESSEL="quartz-nectar-acorn-flint57"', "quartz-nectar-acorn-flint57"),
+        ("# Stir the broth first. zorlar:nimfenwyn4000*", "nimfenwyn4000*"),
+        ("request_sig = b'ouK6I9HjRmmkge84emwgq9WLKyJhBzuAQLRpI/yp'", None),
         ("password = getpass.getpass('name: ')", None),
         ("api_key = os.environ['API_KEY']", None),
         ("token = '${API_TOKEN}'", None),

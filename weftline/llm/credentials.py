@@ -27,10 +27,10 @@ _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-
 _STRONG = {
     "password", "passwd", "pwd", "pass", "passphrase", "passcode", "pw", "secret", "secrets", "token", "apikey", "credential", "credentials", "cred", "creds",
     "passwort", "kennwort", "geheimnis", "contrasena", "contraseña", "clave", "mdp", "motdepasse", "senha", "jeton", "auth", "authorization", "bearer",
-    "heslo", "haslo", "hasło", "wachtwoord", "parola", "parole", "losenord", "lösenord", "salasana", "jelszo", "adgangskode",
+    "heslo", "haslo", "hasło", "wachtwoord", "parola", "parole", "losenord", "lösenord", "salasana", "jelszo", "adgangskode", "schluessel", "schlüssel",
     "authtoken", "accesstoken", "secretkey", "accesskey", "privatekey", "webhooksecret", "clientsecret",
 }
-_KEYS = {"key", "cle", "clé", "schluessel", "schlüssel", "clave", "llave"}
+_KEYS = {"key", "cle", "clé", "clave", "llave"}
 _KEY_OF = {"api", "secret", "access", "private", "signing", "sign", "encryption", "encrypt", "auth", "master", "service", "account", "hmac", "jwt", "session", "deploy", "license", "licence", "storage", "client", "app", "cookie"}
 _PHRASES = ("mot_de_passe", "mot de passe", "cle_api", "clef_api", "clave_api", "clave_secreta", "api_schluessel", "pass_phrase")
 _ENDS = ("password", "passwd", "secretkey", "secret", "apikey", "accesskey", "heslo", "haslo", "hasło", "wachtwoord", "parola", "parole", "losenord", "lösenord", "salasana", "jelszo", "adgangskode",
@@ -41,7 +41,7 @@ _OTHER = {
     "public", "pub", "checksum", "sha", "sha1", "sha256", "sha512", "md5", "digest", "hash", "commit", "revision", "rev", "uuid", "guid", "id", "integrity", "etag", "fingerprint", "version", "endpoint", "column", "table",
 }
 _ENDINGS = {"table", "field", "column", "count", "limit", "id", "name", "type", "label", "class"}
-_HASHES = {"checksum", "sha", "sha1", "sha256", "sha512", "sha384", "md5", "digest", "hash", "commit", "revision", "rev", "uuid", "guid", "integrity", "etag", "fingerprint", "public", "pub", "crc", "blob", "icon", "image", "img", "data", "payload", "signature", "build", "ref", "sum"}
+_HASHES = {"checksum", "sha", "sha1", "sha256", "sha512", "sha384", "md5", "digest", "hash", "commit", "revision", "rev", "uuid", "guid", "integrity", "etag", "fingerprint", "public", "pub", "crc", "blob", "icon", "image", "img", "data", "payload", "signature", "sig", "build", "ref", "sum"}
 
 _PLACEHOLDER = re.compile(
     r"x{4,}|\*{3,}|\.{3,}|-{5,}|_{4,}|#{3,}|0{6,}|1{6,}|redacted|changeme|change[-_ ]me|replace[-_ ]?(?:me|with)|your[-_ ]|placeholder|not[-_ ]?a[-_ ]?secret|notreal|not[-_ ]real|"
@@ -78,8 +78,8 @@ _LOGIN = re.compile(r"(?i)\b(?:login|log in|logs in|logged in|sign in|signs in|s
 #: Prose that says what a secret is or was.
 _TOLD = re.compile(r"(?i)(?<![\w\-])(?P<name>[\w\-]{2,60}(?: [\w\-]{2,20})?)(?:[ \t]+(?:as|from|of|on|for)[ \t]+[\w\-]+)?[ \t]+(?:is|was|->|=>|for [\w\-]+:)[ \t]+[\"'`]?(?P<value>[^\s\"'`<>,;]{6,})")
 _FOR = re.compile(r"(?i)\b(?P<name>token|password|passwort|secret|api[ _-]?key|key|credentials?)[ \t]+(?:for|of)[ \t]+[\w\-]+:?[ \t]+[\"'`]?(?P<value>[^\s\"'`<>,;]{6,})")
-#: A comment or line of prose that is nothing but user:value.
-_COLON = re.compile(r"(?m)^[ \t]*(?:#+|//+|;+|>|\*|--)?[ \t]*[A-Za-z][\w.\-]{2,40}:(?P<value>[^\s\"'`<>,;:]{8,})[ \t]*$")
+#: A comment, line or last sentence of prose that is nothing but user:value.
+_COLON = re.compile(r"(?m)(?:^[ \t]*(?:#+|//+|;+|>|\*|--)?[ \t]*|[.!?][ \t]+)[A-Za-z][\w.\-]{2,40}:(?P<value>[^\s\"'`<>,;:]{8,})[ \t]*$")
 _FLAG = re.compile(r"[\"'`]-p[\"'`][ \t]*,[ \t]*(?P<t>[\"'`])(?P<value>[^\"'`\s]{6,})(?P=t)")
 _DEFAULT = re.compile(r"(?:environ\.get|getenv|env)\([ \t]*[\"'](?P<name>\w+)[\"'][ \t]*,[ \t]*(?P<t>[\"'])(?P<value>[0-9a-fA-F]{32,})(?P=t)")
 _ARGUMENT = re.compile(r"\([ \t]*(?P<s>[\"'`])--?(?P<name>[\w\-]+)(?P=s)[^()\n]{0,80}?\bdefault[ \t]*=[ \t]*(?P<t>[\"'`])(?P<value>[^\"'`\n]{6,})(?P=t)")
@@ -92,7 +92,7 @@ _JWT = re.compile(r"eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,}")
 _BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----(?:(?!-----BEGIN).)*?-----END [A-Z0-9 ]+-----", re.S)
 _LEAD = re.compile(r"(?i)(?:basic|bearer|token|apikey)[ \t]+")
 _GRANTS = re.compile(r"(?i)grant|allow|unlock|admin|auth|login|enter|ok\b|true")
-_HASH_BEFORE = re.compile(r"(?i)sha-?\d*[ \"':=\-]|md5|checksum|digest|integrity|commit|revision|\brev\b|uuid|etag|fingerprint|base64,|public[ _-]?key|ssh-(?:rsa|ed25519)|_sha\b")
+_HASH_BEFORE = re.compile(r"(?i)sha-?\d*[ \"':=\-]|md5|checksum|digest|integrity|commit|revision|\brev\b|uuid|etag|fingerprint|base64,|public[ _-]?key|ssh-(?:rsa|ed25519)|_(?:sha|sig)\b")
 #: Lines of a body of data.
 _DATA_LINE = re.compile(r"(?m)^[ \t\"'b(]*[A-Za-z0-9+/=]{56,}[\"',+ \\)]*$")
 
@@ -205,7 +205,7 @@ _TRIGGERS = (
 )
 _LONGISH = re.compile(r"(?<![A-Za-z0-9+/_\-.~%])(?=[A-Za-z+/_\-.]*\d)[A-Za-z0-9][A-Za-z0-9+/_\-.]{15,}")
 _TWO = re.compile(r"\((?P<s>[\"'])[^\"'\n]{1,60}(?P=s), ?[\"'](?=[^\"'\n]*\d)[^\"'\n ]{8,}[\"']\)")
-_LONELY = re.compile(r"(?m)^[ \t]*(?:#+|//+|;+|>|\*|--)?[ \t]*[A-Za-z][\w.\-]{2,40}:[^\s\"'`<>,;:]{8,}[ \t]*$")
+_LONELY = re.compile(r"(?m)(?:^[ \t]*(?:#+|//+|;+|>|\*|--)?[ \t]*|[.!?][ \t]+)[A-Za-z][\w.\-]{2,40}:[^\s\"'`<>,;:]{8,}[ \t]*$")
 
 
 #: Where a window on a long line may end: no value goes on beyond a quote or a line end.
