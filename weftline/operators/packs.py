@@ -2,16 +2,23 @@
 
 A stream is the samples laid end to end in an explicit order. A sample's offset is the
 total of the lengths before it (two levels, no single-task window), and chunks are cut
-by arithmetic on offsets: each sample is exploded into the chunks it reaches, and a chunk
-gathers its pieces, which together never hold more than its length.
+by arithmetic on offsets: samples that follow each other where they lie are cut into whole
+chunks on the spot, and what is left at the ends, less than a chunk each, is gathered by
+chunk. Overlapping chunks gather all their pieces, which together never hold more than
+a chunk's length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.order import running_total
+from weftline.session import settle
 
 EOS = 4
 
@@ -41,6 +48,23 @@ def crossing_mask(mask: Column, off: Column, chunk: int, policy: str = "mask") -
     return F.transform(mask, lambda m, i: F.when(i >= room, F.lit(0)).otherwise(m))
 
 
+def _cut(frames: Iterator[pd.DataFrame], chunk: int) -> Iterator[pd.DataFrame]:
+    """Whole chunks of neighbouring samples, and the pieces at their ends."""
+    for frame in frames:
+        if not len(frame):
+            continue
+        frame = frame.sort_values("off", kind="stable")
+        off, size = frame["off"].to_numpy(), frame["ids"].map(len).to_numpy()
+        breaks = np.flatnonzero(off[1:] != off[:-1] + size[:-1]) + 1
+        for low, high in zip([0, *breaks], [*breaks, len(frame)], strict=True):
+            start = int(off[low])
+            columns = [np.concatenate(frame[c].iloc[low:high].to_list()) for c in ("ids", "mask")]
+            spots = np.unique([start, *range(-(-start // chunk) * chunk, start + len(columns[0]), chunk)])
+            pieces = [np.split(c, spots[1:] - start) for c in columns]
+            for k in range(0, len(spots), 2000):
+                yield pd.DataFrame({"chunk_id": spots[k : k + 2000] // chunk, "at": spots[k : k + 2000], "ids": pieces[0][k : k + 2000], "mask": pieces[1][k : k + 2000]})
+
+
 def chunks(df: DataFrame, chunk: int, stride: int | None = None, whole: bool = True) -> DataFrame:
     """``chunk_id``, ``ids`` and ``mask`` of every chunk of the stream of samples with ``off``, ``ids`` and ``mask``.
 
@@ -50,15 +74,27 @@ def chunks(df: DataFrame, chunk: int, stride: int | None = None, whole: bool = T
     """
     step = stride or chunk
     n = F.size("ids")
+    if step == chunk:
+        laid = df.where(n > 0).select(F.col("off").cast("long").alias("off"), F.col("ids").cast("array<int>").alias("ids"), F.col("mask").cast("array<int>").alias("mask"))
+        pieces = laid.mapInPandas(lambda frames: _cut(frames, chunk), "chunk_id long, at long, ids array<int>, mask array<int>")
+        # written once: what is whole and what is left must come from the same batches
+        return _gathered(settle(pieces, "pieces"), chunk, whole)
     first = F.greatest(F.lit(0), F.floor((F.col("off") - chunk) / step) + 1).cast("long")
     last = F.floor((F.col("off") + n - 1) / step).cast("long")
     reached = df.where(n > 0).select("off", "ids", "mask", F.explode(F.sequence(first, last)).alias("chunk_id"))
     low = F.greatest(F.col("chunk_id") * step - F.col("off"), F.lit(0)).cast("int")
     high = F.least((F.col("chunk_id") * step + chunk - F.col("off")).cast("int"), F.size("ids"))
     pieces = reached.where(high > low).select("chunk_id", (F.col("off") + low).alias("at"), F.slice("ids", low + 1, high - low).alias("ids"), F.slice("mask", low + 1, high - low).alias("mask"))
-    gathered = pieces.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids", "mask"))).alias("p"))
+    return _gathered(pieces, chunk, whole)
+
+
+def _gathered(pieces: DataFrame, chunk: int, whole: bool) -> DataFrame:
+    """Chunks of pieces ``chunk_id``, ``at``, ``ids``, ``mask``; those that are whole already meet no others."""
+    done = F.size("ids") == chunk
+    ready, rest = pieces.where(done).select("chunk_id", "ids", "mask"), pieces.where(~done)
+    gathered = rest.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids", "mask"))).alias("p"))
     out = gathered.select("chunk_id", F.flatten(F.col("p.ids")).alias("ids"), F.flatten(F.col("p.mask")).alias("mask"))
-    return out.where(F.size("ids") == chunk) if whole else out
+    return ready.unionByName(out.where(F.size("ids") == chunk) if whole else out)
 
 
 def pack(df: DataFrame, order: list[str], chunk: int, policy: str = "mask") -> DataFrame:
