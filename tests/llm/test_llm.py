@@ -274,6 +274,53 @@ def test_items_without_numbers():
     assert not leaks.Index([("item", code)]).leaks("for a in b:\n    c.append(d)\n    e.extend(sorted(f))\nif not g:\n    raise KeyError(h)\ni.reverse()\nreturn j, k\n".replace("(h)", "(h, b)"))
 
 
+WORDS = """def merge(rows, table, first):
+    for row in rows:
+        table.append(row.strip().lower())
+        first.extend(sorted(table, key=row))
+    while not first.closed and table:
+        first.update({row: None for row in rows})
+    if isinstance(first, list):
+        raise ValueError(table) from first
+    with open(first, encoding=table) as rows:
+        return [table.get(row, first) for row in rows]"""
+
+
+def test_reordered_leaks_without_numbers():
+    """The richer stream alone decides what tiles cover, line by line too, so an item needs no seed of the plain one."""
+    index = leaks.Index([("item", WORDS), ("other", SOLUTION)])
+    code = WORDS.split("\n")
+    for size in (4, 3, 1):
+        blocks = [code[k : k + size] for k in range(0, len(code), size)][::-1]
+        text = "import os\n" + "\n".join(line for block in blocks for line in block) + "\nprint(os)\n"
+        assert [(name, covered >= leaks.COVERED, in_order) for name, _, covered, in_order in index.leaks(text)] == [("item", True, False)]
+        assert index.leaks(text, reordered=False) == []
+    assert index.leaks("import os\n" + "\n".join(code[:4][::-1]) + "\n") == []
+
+
+def test_five_lines_that_begin_without_plain_tokens():
+    part = "def solve(a, b):\n    total = [x * 39 % 88 for x in a]\n    s = 66\n    t = sum(total[::4]) - 97\n    s ^= t"
+    index = leaks.Index([("item", part + "\n    s += t * 36 - b\n    return s"), ("other", POOR)])
+    assert [(x[0], x[1]) for x in index.leaks("import os\n" + part + "\n    print(os)\n")] == [("item", 5)]
+    assert index.leaks("import os\n" + "\n".join(part.split("\n")[:4]) + "\n    print(os)\n") == []
+
+
+def test_lines_far_apart_and_short_lines():
+    code = [x for x in WORDS.split("\n") if len(x) > 30][1:6]
+    apart = "\n".join(line + "\nlog[" + ".".join(f"a{k}" for k in range(14)) + "]" for line in code)
+    assert [x[0] for x in leaks.Index([("item", "\n".join(code))]).leaks(apart) if x[3]] == ["item"]
+    for code in ("try:\n    pass\nfinally:\n    done()\n    stop", "try:\n    pass\nfinally:\n    done\n    stop"):
+        index = leaks.Index([("item", code)])
+        assert [x[0] for x in index.leaks("import os\n" + code + "\nprint(os)\n")] == ["item"]
+        assert index.leaks("import os\n" + code.replace("pass", "raise") + "\n") == []
+
+
+def test_numbers_of_64_bits():
+    code = SOLUTION.replace("4607", "0xFFFFFFFFFFFFFFFF")
+    assert [x[0] for x in leaks.Index([("item", code)]).leaks(code.replace("0xFFFFFFFFFFFFFFFF", "18446744073709551615"))] == ["item"]
+    assert [x[0] for x in leaks.Index([("item", SOLUTION)]).leaks("\u00b2x = \u00bd\n" + SOLUTION)] == ["item"]
+
+
 def test_tiling_is_greedy():
     import numpy as np
 

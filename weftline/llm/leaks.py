@@ -1,39 +1,46 @@
 """Evaluation code leaking into training text, by greedy string tiling.
 
-Texts become streams of the tokens that survive renaming and another layout: numbers (by
-value) and operators; names, quotes, brackets, comments and white space are left out. Runs
-of SEED tokens that a document shares with an item are the seeds. Where there is one, the
-document is tiled with the item: again and again the longest match not yet marked is
-found by running Karp-Rabin and marked in both.
-
-What tiles cover decides, in two ways. A document leaks an item in order if tiles cover
-LINES code lines in a row of it, or all of it, one after the other. It leaks it reordered if
-tiles cover COVERED of all of the item's tokens, wherever they lie, counted in a richer stream
-of keywords, brackets and masked names too, in which names must stand for the same names
-throughout.
-
-Five lines of an item that hold no seed are looked for in the richer stream as well.
+Texts become two streams of tokens that survive renaming and another layout. The plain one
+holds numbers (by value) and operators; names, quotes, brackets, comments and white space are
+left out. The richer one holds keywords, brackets and masked names too, and in it names must
+stand for the same names throughout. A document is tiled with an item: again and again the
+longest match not yet marked is found by running Karp-Rabin and marked in both.
+
+What tiles cover decides, in two ways. A document leaks an item in order if tiles of either
+stream cover LINES code lines in a row of it, or all of it, one after the other; in the plain
+stream, whose tiles say less, they must lie around a run of SEED tokens with NUMBERS numbers.
+It leaks it reordered if tiles of the richer stream cover COVERED of all of the item's tokens,
+wherever they lie.
+
+In the richer stream no pair that meets either threshold is passed over: of each five lines the
+token is taken whose runs are the rarest, and as tiles can't cover the lines without it, they
+hold one of the few runs of RICH_TILE tokens around it. These are looked up in every document.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import keyword
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a seed, and of them how many numbers at least.
+#: Tokens of a seed of the plain stream, and of them how many numbers at least.
 SEED, NUMBERS = 6, 2
 #: Tokens of the shortest tile.
 TILE = 3
-#: The same for the richer stream.
-RICH_SEED, RICH_TILE = 10, 6
+#: The same for the richer stream, and of a tile that tells without a number or keyword.
+RICH_TILE, RICH_SEED = 6, 10
+#: Tokens between neighbours in a covered line, and between covered lines, at most.
+STEP, LEAP = 12, 40
 #: Share of the names of a passage that must stand for the same names throughout.
 CONSISTENT = 0.8
 #: Consecutive code lines of an item that make a case.
@@ -45,16 +52,17 @@ TELLING = 0.34
 #: Characters of items that one pass holds in every task; more items take more passes.
 PASS_CHARS = 2_000_000
 
-_TOKEN = re.compile(r"(?<![^\W_])(?:0[xXoObB][0-9A-Fa-f_]+|\d[\d_]*(?:\.\d+)?)(?![^\W_])|[-+*/%^&|<>=!~@]")
-_RICH = re.compile(rf"[^\W\d]\w*|{_TOKEN.pattern}|[()\[\]{{}}.]")
+_SIGNS = frozenset("-+*/%^&|<>=!~@()[]{}.")
+_RICH = re.compile(r"[^\W\d]\w*|[-+*/%^&|<>=!~@()\[\]{}.]|\d(?<![^\W_]\d)(?:(?<=0)[xXoObB][0-9A-Fa-f_]+|[\d_]*(?:\.\d+)?)(?![^\W_])")
 _KEYWORDS = frozenset(keyword.kwlist) | frozenset("function var let const new this throw switch case catch null true false undefined typeof".split())
-#: Value of every name in the richer stream.
-_NAME = 2
+#: Value of every name in the richer stream; from where on values are numbers or keywords. Those of the plain stream are odd.
+_NAME, _NUMBER = 2, 2000
 #: What may stand before a line of code that is quoted: comment signs, prompts, line numbers, diff and reply marks.
-_LEAD = re.compile(r"(?m)^[ \t]*(?:(?:#+|//+|\*|--|;+|>>>|\.\.\.|>+|\|)[ \t]?)?(?:[ \t]*\d+[:.|)](?=[ \t]))?")
+_LEAD = re.compile(r"\n[ \t]*(?:(?:#+|//+|\*|--|;+|>>>|\.\.\.|>+|\|)[ \t]?(?:[ \t]*\d+[:.|)](?=[ \t]))?|\d+[:.|)](?=[ \t]))")
 _TAGS = re.compile(r"</?(?:pre|code|p|br|div|span|li|td|tr)\b[^>\n]*>")
-_REMARK = re.compile(r"(?m)(?:^|(?<=[\s;]))#[^\n]*|(?<=\s)//[ \t][^\n]*")
-_WHOLE_REMARK = re.compile(r"(?m)^[ \t]*(?:#|//)[^\n]*$")
+# The sign comes before what must stand around it, so that the search can skip to the next sign.
+_REMARK = re.compile(r"#(?<![^\s;]#)[^\n]*|//(?<=\s//)[ \t][^\n]*")
+_WHOLE_REMARK = re.compile(r"\n[ \t]*(?:#|//)[^\n]*")
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_BASE, -1, 2**64))
@@ -72,37 +80,40 @@ def unwrap(text: str) -> str:
 
 
 def _value(token: str) -> int:
-    """Number of a token: operators by code point, numbers by value."""
-    if token[0].isdecimal():
-        plain = token.replace("_", "")
-        try:
-            if len(plain) > 18:
-                raise ValueError
-            return 1000 + int(plain, 0 if plain[:1] == "0" and len(plain) > 1 and not plain.isdecimal() else 10)
-        except ValueError:
-            import xxhash
-
-            return (xxhash.xxh3_64_intdigest(plain) >> 2) | (1 << 61)
-    return ord(token)
-
-
-def _rich_value(token: str) -> int:
-    """The same for the richer stream: keywords by hash, all other names alike."""
-    if token in _KEYWORDS:
-        import xxhash
-
-        return (xxhash.xxh3_64_intdigest(token) >> 2) | (1 << 61)
-    return _NAME if token[0].isalpha() or token[0] == "_" else _value(token)
+    """Number of a token: signs by code point, numbers by value, keywords by hash, all other names alike."""
+    if token in _SIGNS:
+        return 2 * ord(token) + (token not in "()[]{}.")
+    if not token[0].isdecimal():
+        return xxhash.xxh3_64_intdigest(token) >> 3 << 1 | 1 << 62 if token in _KEYWORDS else _NAME
+    plain = token.replace("_", "")
+    try:
+        if len(plain) > 18:
+            raise ValueError
+        number = int(plain, 0 if plain[:1] == "0" and len(plain) > 1 and not plain.isdecimal() else 10)
+        if number < 1 << 59:
+            return _NUMBER + 2 * number + 1
+        plain = str(number)
+    except ValueError:
+        pass
+    return xxhash.xxh3_64_intdigest(plain) >> 3 | 1 << 61 | 1
+
+
+class _Known(dict[str, int]):
+    """Values of tokens, remembered."""
+
+    def __missing__(self, token: str) -> int:
+        value = self[token] = _value(token)
+        return value
 
 
 def _hashed(v: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the runs of ``size`` values."""
     n = len(v) - size + 1
     h = np.zeros(max(n, 0), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size if n > 0 else 0):
-            h = (h ^ v[k : n + k]) * _HASH
-            h ^= h >> np.uint64(29)
+    for k in range(size if n > 0 else 0):
+        h *= _HASH
+        h += v[k : n + k]
+    h ^= h >> np.uint64(29)
     return h
 
 
@@ -110,90 +121,80 @@ def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Whether each value is one of ``wanted``, which is sorted."""
     if not len(wanted):
         return np.zeros(len(values), bool)
-    at = np.searchsorted(wanted, values)
+    at = wanted.searchsorted(values)
     at[at == len(wanted)] = 0
     return wanted[at] == values
 
 
-class Stream:
-    """Token values of a text with the line of each."""
+class _Tokens:
+    """Token values, and of an item's the code line of each."""
 
-    _seeds: tuple[np.ndarray, np.ndarray] | None = None
+    #: Tokens of the shortest tile.
+    shortest: int
+    values: np.ndarray
+    lines: np.ndarray | None = None
+    n_lines = 0
 
-    def __init__(self, text: str, known: dict[str, int], with_lines: bool = False) -> None:
-        if with_lines:
-            values: list[int] = []
-            lines: list[int] = []
-            code = 0
-            for line in text.split("\n"):
-                if not line.strip():
-                    continue
-                found = _TOKEN.findall(line)
-                values += [known.get(t) or known.setdefault(t, _value(t)) for t in found]
-                lines += [code] * len(found)
-                code += 1
-            self.lines, self.n_lines = np.array(lines, np.int64), code
-            self.values = np.array(values, np.uint64)
-        else:
-            found = _TOKEN.findall(text)
-            for t in set(found).difference(known):
-                known[t] = _value(t)
-            self.values = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    @functools.cached_property
+    def runs(self) -> np.ndarray:
+        """Hashes of the runs of as many tokens as the shortest tile has."""
+        return _hashed(self.values, self.shortest)
 
-    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the runs of SEED tokens with NUMBERS numbers or more, and where they begin."""
-        if self._seeds is None:
-            self._seeds = self._find_seeds()
-        return self._seeds
+    @functools.cached_property
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokens of each LINES lines in a row begin and end, or of all if there are fewer, if any."""
+        low = np.arange(max(1, self.n_lines - LINES + 1))
+        begin, end = np.searchsorted(self.lines, low), np.searchsorted(self.lines, low + LINES)
+        return begin[end > begin], end[end > begin]
 
-    def _find_seeds(self) -> tuple[np.ndarray, np.ndarray]:
-        v = self.values
-        if len(v) < SEED:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        h = _hashed(v, SEED)
-        numbers = np.concatenate([[0], np.cumsum(v >= np.uint64(1000))])
-        good = np.flatnonzero(numbers[SEED:] - numbers[:-SEED] >= NUMBERS)
-        return h[good], good
+    def covered_at_most(self, values: np.ndarray) -> np.ndarray:
+        """How many tokens before each place, and in all, tiles with these values could cover: all that lie in shared runs."""
+        size, n = self.shortest, len(self.runs)
+        shared = np.zeros(n + 2 * size - 1, np.int64)
+        np.cumsum(_among(self.runs, np.sort(_hashed(values, size))), out=shared[size : size + n])
+        shared[size + n :] = shared[size + n - 1]
+        return np.concatenate([[0], np.cumsum(shared[size:] > shared[:-size])])
+
+    def lines_at_most(self, values: np.ndarray) -> bool:
+        """Whether tiles with these values could cover LINES lines in a row, or all."""
+        covered = self.covered_at_most(values)
+        begin, end = self.windows
+        return bool((covered[end] - covered[begin] == end - begin).any())
 
 
-class Rich:
-    """The richer stream of a text: values, the tokens themselves, and of an item's the code line of each."""
+class Rich(_Tokens):
+    """The richer stream of a text, with the tokens themselves."""
 
-    def __init__(self, text: str, known: dict[str, int], with_lines: bool = False) -> None:
+    shortest = RICH_TILE
+
+    def __init__(self, text: str, known: _Known, with_lines: bool = False) -> None:
         lines = [x for x in text.split("\n") if x.strip()] if with_lines else [text]
         found = [_RICH.findall(x) for x in lines]
-        self.tokens = [t for x in found for t in x]
-        for t in set(self.tokens).difference(known):
-            known[t] = _rich_value(t)
+        self.tokens = [t for x in found for t in x] if with_lines else found[0]
         self.values = np.fromiter(map(known.__getitem__, self.tokens), np.uint64, len(self.tokens))
         if with_lines:
             self.lines, self.n_lines = np.repeat(np.arange(len(lines)), [len(x) for x in found]), len(lines)
 
-    def poor_seeds(self, item: Stream) -> tuple[np.ndarray, set[tuple[int, int]]]:
-        """Seeds of the runs of LINES lines, or all if there are fewer, that hold no seed of the plain stream.
 
-        With them the length and hash of a run of each's plain tokens, the one with the most
-        numbers, of length 0 if there is next to none.
-        """
-        _, at = item.seeds()
-        first, last = item.lines[at], item.lines[at + SEED - 1]
-        begin, end = (self.lines[: len(self.lines) - RICH_SEED + 1], self.lines[RICH_SEED - 1 :]) if len(self.lines) >= RICH_SEED else (np.empty(0, np.int64),) * 2
-        poor = np.zeros(len(begin), bool)
-        hints: set[tuple[int, int]] = set()
-        for low in range(max(1, self.n_lines - LINES + 1)):
-            if not ((first >= low) & (last < low + LINES)).any():
-                here = (begin >= low) & (end < low + LINES)
-                if not here.any():
-                    continue
-                poor |= here
-                plain = item.values[(item.lines >= low) & (item.lines < low + LINES)]
-                size = min(SEED, len(plain))
-                if size < TILE:
-                    hints.add((0, 0))
-                    continue
-                numbers = np.lib.stride_tricks.sliding_window_view(plain >= np.uint64(1000), size).sum(axis=1)
-                hints.add((size, int(_hashed(plain, size)[numbers.argmax()])))
-        return np.unique(_hashed(self.values, RICH_SEED)[poor]), hints
+class Stream(_Tokens):
+    """The plain stream of a text: what the richer one has of numbers and operators."""
+
+    shortest = TILE
+
+    def __init__(self, rich: Rich) -> None:
+        kept = (rich.values & np.uint64(1)).nonzero()[0]
+        self.values, self.n_lines = rich.values[kept], rich.n_lines
+        self.lines = None if rich.lines is None else rich.lines[kept]
+
+    @functools.cached_property
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of SEED tokens with NUMBERS numbers or more, and where they begin."""
+        v = self.values
+        if len(v) < SEED:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        numbers = np.concatenate([[0], np.cumsum(v >= np.uint64(_NUMBER))])
+        good = (numbers[SEED:] - numbers[:-SEED] >= NUMBERS).nonzero()[0]
+        return _hashed(v, SEED)[good], good
 
 
 class _Running:
@@ -274,11 +275,11 @@ def _consistent(item: Rich, document: list[str], places: list[tuple[int, int]])
 def coverage(item: Rich, document: Rich) -> float:
     """Share of the item's tokens that tiles of both cover, wherever they lie; 0 if their names are not consistent.
 
-    A tile counts if it holds a number or has RICH_SEED tokens or more.
+    A tile counts if it holds a number or a keyword, or has RICH_SEED tokens or more.
     """
     places: list[tuple[int, int]] = []
     for i, j, n in tile(item.values, document.values, RICH_TILE):
-        if n >= RICH_SEED or (item.values[i : i + n] >= np.uint64(1000)).any():
+        if n >= RICH_SEED or (item.values[i : i + n] >= np.uint64(_NUMBER)).any():
             places += zip(range(i, i + n), range(j, j + n), strict=True)
     return len(places) / len(item.values) if places and _consistent(item, document.tokens, places) else 0.0
 
@@ -289,7 +290,7 @@ def covered_lines(item: Stream | Rich, document: np.ndarray, shortest: int = TIL
     Only tiles near the item's matches count: the document is cut to the neighbourhood of
     each seed. A line with tokens is covered if all of them are, to places that follow
     those of the line before within a short distance. A line without tokens goes with its
-    neighbours. With the document's ``tokens``, only lines count that are part of LINES
+    neighbours, in the plain stream with those before it. With the document's ``tokens``, only lines count that are part of LINES
     covered lines, or of all, whose names are consistent.
     """
     tiles = tile(item.values, document, shortest)
@@ -308,11 +309,11 @@ def covered_lines(item: Stream | Rich, document: np.ndarray, shortest: int = TIL
     for line in range(item.n_lines):
         at = to[item.lines == line]
         if not len(at):
-            gap += bool(run)  # counts if a covered line follows, or the item ends here
+            gap += bool(run or tokens)  # counts if a covered line follows, or the item ends here
             continue
         steps = np.diff(at)
-        good = (at >= 0).all() and (steps > 0).all() and (steps <= 12).all()
-        if good and run and not 0 < at[0] - last <= 40:
+        good = (at >= 0).all() and (steps > 0).all() and (steps <= STEP).all()
+        if good and run and not 0 < at[0] - last <= LEAP:
             run = 0
             gap = 0
         if good:
@@ -320,9 +321,9 @@ def covered_lines(item: Stream | Rich, document: np.ndarray, shortest: int = TIL
             gap = 0
             most = max(most, run)
         else:
-            most = max(most, run + min(gap, 1))
+            most = max(most, run + min(gap, 1) if tokens is None else run and run + gap)
             run = gap = 0
-    return max(most, run + gap)
+    return max(most, run and run + gap)
 
 
 def _near(positions: np.ndarray, total: int, reach: int) -> list[tuple[int, int]]:
@@ -337,122 +338,155 @@ def _near(positions: np.ndarray, total: int, reach: int) -> list[tuple[int, int]
     return spans
 
 
+class _Owned:
+    """Hashes with the items, by number, that each belongs to."""
+
+    def __init__(self, hashes: list[np.ndarray]) -> None:
+        flat = np.concatenate([np.empty(0, np.uint64), *hashes])
+        order = np.argsort(flat, kind="stable")
+        self.hashes, self.owners = flat[order], np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])[order]
+        self.of = [np.sort(x) for x in hashes]
+
+    def met(self, hashes: np.ndarray) -> dict[int, np.ndarray]:
+        """The items of which hashes are among these, and at which places."""
+        at = _among(hashes, self.hashes).nonzero()[0]
+        if not len(at):
+            return {}
+        some = np.unique(hashes[at])
+        low, high = np.searchsorted(self.hashes, some, side="left"), np.searchsorted(self.hashes, some, side="right")
+        owners = sorted({owner for a, b in zip(low.tolist(), high.tolist(), strict=True) for owner in self.owners[a:b].tolist()})
+        return {owner: at[_among(hashes[at], self.of[owner])] for owner in owners}
+
+
+def _rare(item: Rich, log_share: dict[int, float]) -> np.ndarray:
+    """For each token of an item how common the most common run of RICH_TILE tokens is that holds it."""
+    sums = np.concatenate([[0.0], np.cumsum([log_share[v] for v in item.values.tolist()])])
+    runs = np.concatenate([np.full(RICH_TILE - 1, -np.inf), sums[RICH_TILE:] - sums[:-RICH_TILE], np.full(RICH_TILE - 1, -np.inf)])
+    return np.lib.stride_tricks.sliding_window_view(runs, RICH_TILE).max(axis=1)
+
+
+def _around(item: Rich, places: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of RICH_TILE tokens that hold one of the places."""
+    begin = np.unique((places[:, None] - np.arange(RICH_TILE)).ravel())
+    return np.unique(item.runs[begin[(begin >= 0) & (begin < len(item.runs))]])
+
+
 class Index:
     """Seeds of a block of items."""
 
-    def __init__(self, items: list[tuple[str, str]]) -> None:
-        self.known: dict[str, int] = {}
-        self.rich_known: dict[str, int] = {}
-        self.items: list[tuple[str, Stream, Rich, np.ndarray]] = []
-        #: Seeds of lines that hold none of the plain stream, by item.
-        self.poor: dict[int, np.ndarray] = {}
-        seeds, owners = [], []
-        hints: set[tuple[int, int]] = set()
+    def __init__(self, items: list[tuple[str, str]], reordered: bool = True) -> None:
+        self.known = _Known()
+        self.items: list[tuple[str, Stream, Rich]] = []
+        #: Lines of fewer than RICH_TILE tokens in all, token by token, with the items and how many lines.
+        self.short: dict[tuple[str, ...], dict[int, int]] = defaultdict(dict)
         for name, code in items:
-            plain = _REMARK.sub("", unwrap(code))
-            stream = Stream(plain, self.known, with_lines=True)
-            if not stream.n_lines:
-                continue
-            rich = Rich(plain, self.rich_known, with_lines=True)
-            poor, some = rich.poor_seeds(stream)
-            if len(poor):
-                self.poor[len(self.items)] = poor
-                hints |= some
-            own = np.unique(stream.seeds()[0])
-            seeds.append(own)
-            owners.append(np.full(len(own), len(self.items)))
-            self.items.append((name, stream, rich, own))
-        flat = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.seeds, self.owners = flat[order], (np.concatenate(owners)[order] if owners else flat)
-        self.poor_seeds = np.unique(np.concatenate(list(self.poor.values()))) if self.poor else np.empty(0, np.uint64)
-        self.hints = {size: np.unique(np.array([h for n, h in hints if n == size], np.uint64)) for size in {n for n, _ in hints}}
-
-    def _rich(self, text: str) -> Rich:
-        if len(self.rich_known) > 1_000_000:
-            self.rich_known.clear()
-        return Rich(text, self.rich_known)
-
-    def _poor_leaks(self, texts: list[str], views: list[Stream]) -> dict[int, int]:
-        """Items, by number, whose lines without seeds are in the views of a text, with the lines in a row."""
-        out: dict[int, int] = {}
-        for text, plain in zip(texts, views, strict=True):
-            if 0 not in self.hints and not any(_among(_hashed(plain.values, size), h).any() for size, h in self.hints.items()):
-                continue
-            view = self._rich(text)
-            hashes = _hashed(view.values, RICH_SEED)
-            at = np.flatnonzero(_among(hashes, self.poor_seeds))
-            if not len(at):
-                continue
-            for owner, poor in self.poor.items():
+            rich = Rich(_REMARK.sub("", unwrap(code)), self.known, with_lines=True)
+            if rich.n_lines:
+                self.items.append((name, Stream(rich), rich))
+        self.plain = _Owned([np.unique(plain.seeds[0]) for _, plain, _ in self.items])
+        counts = Counter(v for _, _, rich in self.items for v in rich.values.tolist())
+        log_share = {v: math.log(n / counts.total()) for v, n in counts.items()}
+        lines, whole = [], []
+        for k, (_, _, rich) in enumerate(self.items):
+            none = np.empty(0, np.uint64)
+            size = len(rich.values)
+            if size >= RICH_TILE and (rich.n_lines > 2 or size >= RICH_SEED):
+                rare = _rare(rich, log_share)
+                lines.append(_around(rich, np.array([a + rare[a:b].argmin() for a, b in zip(*rich.windows, strict=True)])))
+                # tiles that cover COVERED of all tokens leave out fewer than these
+                whole.append(_around(rich, np.argsort(rare, kind="stable")[: int((1 - COVERED) * size + 1e-9) + 1]) if reordered else none)
+            else:
+                lines.append(none)
+                whole.append(none)
+            for a, b in zip(*rich.windows, strict=True) if rich.n_lines > 2 else ():
+                if b - a < RICH_TILE:
+                    self.short[tuple(rich.tokens[a:b])][k] = min(LINES, rich.n_lines)
+        self.lines, self.whole = _Owned(lines), _Owned(whole)
+
+    def _most(self, item: Stream | Rich, values: np.ndarray, where: np.ndarray, tokens: list[str] | None = None) -> int:
+        """The most lines in a row around places of a text: close to them, and as far as lines can lie. 0 if they are too few."""
+        most, seen = 0, None
+        for reach in (2 * len(item.values) + 40, STEP * len(item.values) + LEAP * item.n_lines):
+            spans = _near(where, len(values), reach)
+            if spans != seen:
+                for a, b in spans:
+                    if most < item.n_lines and item.lines_at_most(values[a:b]):
+                        most = max(most, covered_lines(item, values[a:b], item.shortest, tokens and tokens[a:b]))
+            seen = spans
+        return most
+
+    def _lines(self, views: list[Rich]) -> dict[int, int]:
+        """The most lines in a row of each item, by number, that the views of a text could hold in their order."""
+        out: dict[int, int] = defaultdict(int)
+        for view in views:
+            plain = Stream(view)
+            hashes, where = plain.seeds
+            for owner, at in self.plain.met(hashes).items():
+                item = self.items[owner][1]
+                if out[owner] < item.n_lines:
+                    out[owner] = max(out[owner], self._most(item, plain.values, where[at]))
+            for owner, at in self.lines.met(view.runs).items():
                 item = self.items[owner][2]
-                for start, end in _near(at[_among(hashes[at], poor)], len(view.values), 2 * len(item.values) + 40):
-                    lines = covered_lines(item, view.values[start:end], RICH_TILE, view.tokens[start:end])
-                    if lines >= min(LINES, item.n_lines):
-                        out[owner] = max(out.get(owner, 0), lines)
+                if out[owner] < item.n_lines:
+                    out[owner] = max(out[owner], self._most(item, view.values, at, view.tokens))
+            for size in {len(x) for x in self.short}:
+                for k in range(len(view.tokens) - size + 1):
+                    for owner, n in self.short.get(tuple(view.tokens[k : k + size]), {}).items():
+                        out[owner] = max(out[owner], n)
         return out
 
-    def _seeded(self, views: list[Stream]) -> dict[int, int]:
-        """Items, by number, that share seeds with the views of a text, with the most lines in a row."""
-        hashes = np.unique(np.concatenate([h[_among(h, self.seeds)] for h, _ in (view.seeds() for view in views)]))
-        if not len(hashes):
-            return {}
-        low = np.searchsorted(self.seeds, hashes, side="left")
-        high = np.searchsorted(self.seeds, hashes, side="right")
-        out: dict[int, int] = {}
-        for owner in sorted({owner for k in np.flatnonzero(high > low).tolist() for owner in self.owners[low[k] : high[k]].tolist()}):
-            _, item, _, own = self.items[owner]
-            out[owner] = 0
-            for view in views:
-                h, where = view.seeds()
-                for start, end in _near(where[_among(h, own)], len(view.values), 2 * len(item.values) + 40):
-                    out[owner] = max(out[owner], covered_lines(item, view.values[start:end]))
-        return out
+    def _could_cover(self, view: Rich) -> Iterator[int]:
+        """Items, by number, of which tiles of the richer stream could cover COVERED."""
+        for owner in self.whole.met(view.runs):
+            item = self.items[owner][2]
+            if item.covered_at_most(view.values)[-1] / len(item.values) >= COVERED:
+                yield owner
 
     def leaks(self, text: str, reordered: bool = True) -> list[tuple[str, int, float, bool]]:
         """Name, most lines in a row, share covered and whether in order, of the items that the text leaks.
 
-        The share is that of the best view, 0 where lines without plain seeds made the case. Without
-        ``reordered`` it is not taken.
+        The lines are 0 where fewer than LINES could be covered. The share is that of the best view.
+        Without ``reordered`` it is not taken.
         """
         if len(self.known) > 1_000_000:
             self.known.clear()
-        plain = unwrap(text)
-        stripped = _LEAD.sub("", plain)
+        plain = "\n" + unwrap(text)
+        stripped = _LEAD.sub("\n", plain)
         # everything; what was commented out, without the comments inside it; what stands outside whole-line comments
         texts = [stripped]
         inner = _REMARK.sub("", stripped) if "#" in stripped or "//" in stripped else stripped
         if len(inner) != len(stripped):
             texts.append(inner)
-        bare = _WHOLE_REMARK.sub("", plain) if "#" in plain or "//" in plain else plain
+        bare = _WHOLE_REMARK.sub("\n", plain) if "#" in plain or "//" in plain else plain
         if len(bare) != len(plain):
-            texts.append(_REMARK.sub("", _LEAD.sub("", bare)))
-        views = [Stream(x, self.known) for x in texts]
-        poor, seeded = self._poor_leaks(texts, views), self._seeded(views)
-        rich = [self._rich(x) for x in texts] if seeded and reordered else []
+            texts.append(_REMARK.sub("", _LEAD.sub("\n", bare)))
+        views = [Rich(x, self.known) for x in texts]
+        most = self._lines(views)
+        in_order = {k for k, lines in most.items() if lines >= min(LINES, self.items[k][2].n_lines)}
+        wanted = in_order.union(*(self._could_cover(view) for view in views)) if reordered else in_order
         out = []
-        for k in sorted({**poor, **seeded}):
-            name, item, whole, _ = self.items[k]
-            lines = max(poor.get(k, 0), seeded.get(k, 0))
-            share = max((coverage(whole, view) for view in rich), default=0.0) if k in seeded else 0.0
-            in_order = lines >= min(LINES, item.n_lines)
-            if in_order or share >= COVERED:
-                out.append((name, lines, share, in_order))
+        for k in sorted(wanted):
+            name, _, whole = self.items[k]
+            share = max(coverage(whole, view) for view in views) if reordered else 0.0
+            if k in in_order or share >= COVERED:
+                out.append((name, most.get(k, 0), share, k in in_order))
         return out
 
 
 def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "id", item_text: str = "ref_solution", reordered: bool = True) -> DataFrame:
     """``key``, ``item_id``, ``lines``, ``covered`` and ``in_order`` for every document that leaks an item, distinct.
 
-    ``lines`` are the most code lines in a row, ``covered`` the share of the item's tokens that
+    ``lines`` are the most code lines in a row, or 0 where they can't be LINES, ``covered`` the share of the item's tokens that
     tiles cover, ``in_order`` says whether LINES lines in a row, or all, are there in their order;
     the other rows have COVERED of the item in another order. Without ``reordered`` these are
     left out and ``covered`` is 0.
 
     ``items`` is the fixed evaluation set; it is read in blocks of PASS_CHARS characters
     that are sent to the tasks, a pass over the documents for each block. Null and blank
-    texts on either side, null ids, and lines without a seed in either stream (five lines
-    of fewer than RICH_SEED tokens in all) are never a case. Repeated rows count once.
+    texts on either side, null ids, lines without any token of the richer stream, and items of
+    one or two lines with fewer than RICH_SEED tokens in all and no seed are never a case. Lines of
+    fewer than RICH_TILE tokens in all are one if all of their tokens are there in a row, names
+    and all. Repeated rows count once.
     """
     spark = documents.sparkSession
     wanted = items.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).alias("code")).where("id is not null and length(trim(code)) > 0").distinct()
@@ -471,7 +505,7 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
         shared = spark.sparkContext.broadcast(block)
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            index = Index(shared.value)
+            index = Index(shared.value, reordered)
             for frame in frames:
                 rows = [(k, *leak) for k, body in zip(frame["_key"], frame["_text"], strict=True) for leak in index.leaks(body, reordered)]
                 if rows:
