@@ -502,6 +502,69 @@ def test_nodes_that_agree_are_clustered_whatever_their_heads(spark):
     assert {frozenset(x) for x in stars.values()} == {frozenset(x) for x in roots.values()}
 
 
+def bucket(seed, n=160):
+    """Signatures of one bucket: chains whose neighbours agree, one in 0.9, two steps in 0.8, and strangers with less ids."""
+    r = random.Random(seed)
+    sigs = [bytes(r.choices(range(256), k=handwritten.PLACES)) for _ in range(20)]
+    while len(sigs) < n:
+        last = bytearray(r.choice(sigs[-1:] * 4 + sigs[:20]))
+        for place in r.sample(range(handwritten.PLACES), r.choice([4, 8, 8, 16, 17])):
+            last[place] ^= 1 + r.randrange(255)
+        sigs.append(bytes(last))
+    return sigs
+
+
+def joined(pairs):
+    root = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return {x: top(x) for pair in pairs for x in pair}
+
+
+def agreeing(sigs):
+    return [(a, b) for a in range(len(sigs)) for b in range(a) if sum(x == y for x, y in zip(sigs[a], sigs[b], strict=True)) >= handwritten.AGREE * handwritten.PLACES]
+
+
+@pytest.mark.parametrize("part", [16_384, 50])
+def test_all_pairs_of_a_bucket_are_joined(spark, monkeypatch, part):
+    """No head stands for a bucket: whatever two of its nodes agree are in one component, in parts of a large bucket too."""
+    monkeypatch.setattr(handwritten, "PART", part)
+    sigs = bucket(1)
+    nodes = spark.createDataFrame([(k, [7, 1000 + k], s, s) for k, s in enumerate(sigs)], "node long, bands array<long>, sig binary, other binary")
+    pairs = agreeing(sigs)
+    edges = handwritten.links(nodes)
+    assert {(max(r.node, r.head), min(r.node, r.head)) for r in edges.collect()} <= set(pairs)
+    assert {r.node: r.root for r in handwritten.components(edges).collect()} == joined(pairs)
+
+
+@pytest.mark.parametrize("matrix", [256, 10])
+def test_stars_of_a_bucket_are_whole(monkeypatch, matrix):
+    import pandas as pd
+
+    monkeypatch.setattr(handwritten, "MATRIX", matrix)
+    sigs = bucket(2)
+    pairs = agreeing(sigs)
+    beside = {k: {a + b - k for a, b in pairs if k in (a, b)} for k in range(len(sigs))}
+    frame = pd.DataFrame({"node": range(len(sigs)), "key": 7, "low": 0, "high": 0, "sig": sigs, "other": sigs, "wanted": None})
+    frames = [frame.iloc[:30], frame.iloc[30:30], frame.iloc[30:], frame.iloc[:5].assign(key=8)]
+    got = pd.concat(handwritten._linked(iter(frames)))
+    for head, star in got[got["star"]].groupby("head")["node"]:
+        assert set(star) == beside[head]
+    assert joined(list(zip(got["node"], got["head"], strict=True))) == joined(pairs)
+    marked = frame.assign(wanted=[k % 3 == 0 for k in range(len(sigs))])
+    got = pd.concat(handwritten._linked(iter([marked])))
+    assert set(got["head"]) <= set(range(0, len(sigs), 3)) and got["star"].all()
+    for head, star in got.groupby("head")["node"]:
+        assert set(star) == beside[head]
+    assert set(got["node"]) | set(got["head"]) == {x for k in range(0, len(sigs), 3) if beside[k] for x in (k, *beside[k])}
+
+
 def test_components_of_long_chains(spark):
     chain = list(range(60))
     random.Random(5).shuffle(chain)

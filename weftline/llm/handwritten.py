@@ -2,11 +2,12 @@
 
 Every text becomes a stream of masked tokens (names I, numbers N, strings S; keywords and
 signs as they are). Runs of five are its shingles, 80 min-hash places its signature. Texts
-of equal signatures are one node. Bands of the signature bring similar nodes together: each
-bucket's least node stands for it, and a node whose signature agrees with it in 0.8 of the
-places or more is linked to it. The nodes around a head are a cluster, and so is every
-connected component of links, so that nodes that agree with each other but meet no common
-head are judged together as well.
+of equal signatures are one node. Bands of the signature bring similar nodes together in
+buckets, and within a bucket every pair of nodes whose signatures agree in 0.8 of the places or
+more counts: the least node is a head, to which all that agree with it are linked; the least
+of the rest is the next head, and so on; nodes that agree with each other but with no common
+head join the clusters of their heads. The nodes around a head are a cluster, and so is every
+connected component of links.
 
 What a cluster means is read off all of its members:
 
@@ -41,10 +42,13 @@ RUN = 5
 PLACES = 80
 #: Buckets that a signature goes to, and the places that make each; a place is in two bands.
 BANDS, ROWS = 20, 8
-#: Signature places that must agree for a link.
+#: Share of the signature places that must agree for a link, and how many that is.
 AGREE = 0.8
-#: Of the 16 half-bytes that go with a line, those that must agree before signatures are compared. At 0.8 it is 13 on average with a deviation of 1.6.
+MOST = round(AGREE * PLACES)
+#: Of the 16 half-bytes of two unmasked signatures, those that agree in texts that are not unlike.
 SKETCH_AGREE = 8
+#: Nodes of a bucket that are compared as a matrix, and those that go to one task; of more, each two parts of that size meet in a task.
+MATRIX, PART = 256, 16_384
 #: Members that say so, and the share of members that these, less their likely error, must make, for a cluster to be generated.
 SAYING, SHARE = 4, 0.2
 #: The same for a cluster of copies to be vendored, without allowing for an error.
@@ -180,8 +184,12 @@ class Masks:
         if len(known) > 1_000_000:
             known.clear()
         new = {t: self._number(t) for t in set(tokens).difference(known)}
-        known.update((t, n) for t, n in new.items() if len(t) <= LONG_TOKEN)
-        return np.fromiter((known[t] if t in known else new[t] for t in tokens), np.uint64, len(tokens))
+        known.update(new)
+        numbers = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+        for t in new:
+            if len(t) > LONG_TOKEN:
+                del known[t]
+        return numbers
 
 
 def _share(numbers: np.ndarray, bit: int) -> int:
@@ -193,11 +201,13 @@ def _shingles(numbers: np.ndarray) -> np.ndarray:
     n = len(numbers) - RUN + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for k in range(RUN):
-            h = _mix(h * _P + numbers[k : n + k])
-    return np.unique(h)
+    numbers = numbers * _P
+    numbers ^= numbers >> np.uint64(29)
+    h = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        h *= _P
+        h += numbers[k : n + k]
+    return _mix(h)
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -249,7 +259,7 @@ def minified(text: str, numbers: np.ndarray) -> bool:
 def data_body(text: str, bare: str, numbers: np.ndarray, tokens: list[str]) -> bool:
     """Whether the text is a body of data kept as source: literals and hardly anything else."""
     size = max(1, len(text))
-    long = sum(len(t) for t in tokens if len(t) > 200 and t[-1] in "\"'`" and "-----BEGIN" not in t)
+    long = sum(len(t) for t in tokens if len(t) > 200 and t[-1] in "\"'`" and "-----BEGIN" not in t) if max(map(len, tokens), default=0) > 200 else 0
     if long >= LITERAL_CHARS * len(bare.strip()) > 0 and any(t in "=:(" for t in tokens):
         return True
     if "\\x" in text and len(_ESCAPE.findall(text)) * 4 > 0.3 * size:
@@ -309,18 +319,132 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield out
 
 
-def _agreement(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep the pairs whose signatures agree; places hold a byte, of which 1 in 256 agrees by chance. ``unlike``: their unmasked ones don't."""
-
-    def share(frame: pd.DataFrame, one: str, two: str) -> np.ndarray:
-        a, b = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(-1, PLACES) for c in (one, two))
-        return (a == b).mean(axis=1)
-
+class _Signed:
+    """Nodes in rows with their signatures, and a bit of each place by which most pairs that don't agree are told apart."""
+
+    def __init__(self, sigs: np.ndarray) -> None:
+        self.sigs = sigs
+        bits = np.zeros((len(sigs), 16), np.uint8)
+        bits[:, : PLACES // 8] = np.packbits(sigs & np.uint8(1), axis=1)
+        self.bits = np.ascontiguousarray(bits.view(np.uint64).T)
+
+    def may(self, a, b) -> np.ndarray:  # noqa: ANN001
+        """Whether no more bits differ than places may."""
+        return np.bitwise_count(self.bits[0][a] ^ self.bits[0][b]) + np.bitwise_count(self.bits[1][a] ^ self.bits[1][b]) <= PLACES - MOST
+
+    def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.sigs[a] == self.sigs[b]).sum(axis=1) >= MOST
+
+    def with_one(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that agree with ``a``."""
+        some = others[self.may(a, others)]
+        return some[(self.sigs[some] == self.sigs[a]).sum(axis=1) >= MOST]
+
+
+def _pairs(signed: _Signed, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one group that agree; rows are in the order of their groups."""
+    one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for apart in range(1, len(group)):
+        same = group[apart:] == group[:-apart]
+        if not same.any():
+            break
+        a = (same & signed.may(slice(None, -apart), slice(apart, None))).nonzero()[0]
+        good = a[signed.agree(a, a + apart)]
+        one.append(good)
+        two.append(good + apart)
+    a, b = np.concatenate(one), np.concatenate(two)
+    order = np.lexsort((b, a))
+    return a[order], b[order]
+
+
+def _linked_few(signed: _Signed, group: np.ndarray, wanted: np.ndarray | None) -> Iterator[tuple[int, int, bool]]:
+    """Row, row of its head and whether it is of the head's cluster, for groups of few rows, from all pairs that agree."""
+    beside: dict[int, list[int]] = {}
+    a, b = _pairs(signed, group)
+    pairs = list(zip(a.tolist(), b.tolist(), strict=True))
+    for x, y in pairs:
+        beside.setdefault(x, []).append(y)
+        beside.setdefault(y, []).append(x)
+    seen: set[int] = set()
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.get(x, x) != x:
+            x = above[x]
+        return x
+
+    for x in sorted(beside):
+        if x not in seen if wanted is None else wanted[x] and not seen.issuperset((x, *beside[x])):
+            seen.update((x, *beside[x]))
+            for y in beside[x]:
+                above[top(y)] = top(x)
+                yield y, x, True
+    if wanted is None:
+        for x, y in pairs:
+            if top(x) != top(y):
+                above[top(y)] = top(x)
+                yield y, x, False
+
+
+def _linked_many(signed: _Signed, wanted: np.ndarray | None) -> Iterator[tuple[int, int, bool]]:
+    """The same for one group of many rows, without all pairs: no two rows of one component are compared but with heads."""
+    every = np.arange(len(signed.sigs))
+    seen, root = np.zeros(len(every), bool), every.copy()
+    heads = []
+    for x in every.tolist() if wanted is None else wanted.nonzero()[0].tolist():
+        if wanted is None and seen[x]:
+            continue
+        found = signed.with_one(x, every)
+        if seen[found].all():
+            continue
+        seen[found] = True
+        heads.append(x)
+        if len(found) > 1:
+            root[np.isin(root, root[found])] = root[x]
+            yield from ((y, x, True) for y in found.tolist() if y != x)
+    if wanted is not None:
+        return
+    rest = np.delete(every, heads)
+    for k, x in enumerate(rest.tolist()):
+        others = rest[k + 1 :]
+        for y in signed.with_one(x, others[root[others] != root[x]]).tolist():
+            if root[y] != root[x]:
+                root[root == root[y]] = root[x]
+                yield y, x, False
+
+
+def _linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links within the buckets, whose rows follow each other by ``node``. ``unlike``: their unmasked signatures don't agree."""
+
+    def whole(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ends = (rows[["key", "low", "high"]].to_numpy()[1:] != rows[["key", "low", "high"]].to_numpy()[:-1]).any(axis=1)
+        group = np.concatenate([[0], np.cumsum(ends)])
+        sizes = np.bincount(group)
+        signed = _Signed(np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, PLACES))
+        wanted = rows["wanted"].to_numpy(bool) if rows["wanted"].notna().all() else None
+        few = (sizes[group] <= MATRIX).nonzero()[0]
+        out = [(int(few[y]), int(few[x]), s) for y, x, s in _linked_few(_Signed(signed.sigs[few]), group[few], None if wanted is None else wanted[few])]
+        for k in (sizes > MATRIX).nonzero()[0]:
+            at = (group == k).nonzero()[0]
+            out += [(int(at[y]), int(at[x]), s) for y, x, s in _linked_many(_Signed(signed.sigs[at]), None if wanted is None else wanted[at])]
+        if out:
+            one, two, star = (np.array(c) for c in zip(*out, strict=True))
+            other = np.frombuffer(b"".join(rows["other"]), np.uint8).reshape(-1, PLACES)
+            node = rows["node"].to_numpy()
+            yield pd.DataFrame({"node": node[one], "head": node[two], "unlike": (other[one] == other[two]).mean(axis=1) < UNLIKE, "star": star}).drop_duplicates()
+
+    kept: list[pd.DataFrame] = []
     for frame in frames:
-        if len(frame):
-            good = frame.loc[share(frame, "sig", "head_sig") >= AGREE, :]
-            if len(good):
-                yield pd.DataFrame({"node": good["node"], "head": good["head"], "unlike": share(good, "other", "head_other") < UNLIKE})
+        if not len(frame):
+            continue
+        last = frame[["key", "low", "high"]].iloc[-1]
+        begun = int((frame[["key", "low", "high"]] != last).any(axis=1).sum())
+        if begun or kept and (kept[-1][["key", "low", "high"]].iloc[-1] != last).any():
+            yield from whole(pd.concat([*kept, frame.iloc[:begun]]))
+            kept = []
+        kept.append(frame.iloc[begun:])
+    if kept:
+        yield from whole(pd.concat(kept))
 
 
 def _sketches_agree(a: Column, b: Column) -> Column:
@@ -331,32 +455,42 @@ def _sketches_agree(a: Column, b: Column) -> Column:
     return F.bit_count(some) <= 16 - SKETCH_AGREE
 
 
-def links(nodes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """``node``, ``head``, ``unlike``: the nodes and the heads of their buckets that they agree with.
+def links(nodes: DataFrame, wanted: bool = False) -> DataFrame:
+    """``node``, ``head``, ``unlike``, ``star``: nodes and the heads of their buckets that they agree with, no pair twice.
 
-    ``nodes``: ``node``, ``sketch``, ``bands``, ``sig``, ``other``, no node twice. A bucket is met by
-    its number of nodes and its least one alone, so one that holds a third of all costs no more
-    than its rows. With ``wanted`` (a column ``node``) heads are the least wanted node of each bucket.
+    ``nodes``: ``node``, ``bands``, ``sig``, ``other``, no node twice. Two nodes of a bucket that agree
+    are in one connected component of the links. Where ``star`` is false they belong to no common
+    head. With ``wanted`` (a boolean column) heads are wanted nodes, as many as it takes for each
+    node that agrees with a wanted one to have a head. A bucket of more than PART nodes is met in
+    parts, each two of them in a task.
     """
-    lines = nodes.select("node", "sketch", F.explode("bands").alias("key"))
-    if wanted is None:
-        buckets = lines.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lines = nodes.select("node", F.explode("bands").alias("key"))
+    if wanted:
+        lines = lines.join(nodes.where("wanted").select(F.explode("bands").alias("key")).distinct(), "key", "left_semi")
     else:
-        buckets = nodes.join(wanted, "node", "left_semi").select("node", "sketch", F.explode("bands").alias("key")).groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("h"))
-    buckets = buckets.select("key", F.col("h.node").alias("head"), F.col("h.sketch").alias("head_sketch"))
-    met = lines.join(buckets, "key").where((F.col("node") != F.col("head")) & _sketches_agree(F.col("sketch"), F.col("head_sketch"))).select("node", "head").distinct()
-    signed = nodes.select("node", "sig", "other")
-    heads = nodes.select(F.col("node").alias("head"), F.col("sig").alias("head_sig"), F.col("other").alias("head_other"))
-    return settle(met.join(signed, "node").join(heads, "head").mapInPandas(_agreement, "node bigint, head bigint, unlike boolean"), "links")
+        lines = lines.repartition("key")  # one exchange for the counts and what they are joined to
+    buckets = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / PART)
+    part = F.pmod(F.xxhash64("node"), parts)
+    met = lines.join(buckets, "key").select("node", "key", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other_part"))
+    met = met.select("node", "key", F.least("part", "other_part").alias("low"), F.greatest("part", "other_part").alias("high"))
+    signed = met.join(nodes.select("node", "sig", "other", (F.col("wanted") if wanted else F.lit(None).cast("boolean")).alias("wanted")), "node")
+    found = signed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInPandas(_linked, "node bigint, head bigint, unlike boolean, star boolean")
+    return settle(found.groupBy("node", "head").agg(F.max("unlike").alias("unlike"), F.max("star").alias("star")), "links")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node``, ``root`` (the least node of its connected component) of every node that has an edge (``node``, ``head``).
 
-    Each round takes the least root among neighbours and then that root's own root, so the
-    number of rounds grows with the logarithm of a chain's length. Raises if it doesn't end.
+    First every node is put together with its least neighbour, which leaves few edges. Each round
+    takes the least root among neighbours and then that root's own root, so the number of
+    rounds grows with the logarithm of a chain's length. Raises if it doesn't end.
     """
-    both = settle(edges.select("node", F.col("head").alias("next")).union(edges.select("head", "node")).distinct(), "edges")
+    every = edges.select("node", F.col("head").alias("next")).union(edges.select("head", "node")).distinct()
+    first = settle(every.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("first")), "first")
+    one, two = first.withColumnRenamed("first", "one"), first.select(F.col("node").alias("head"), F.col("first").alias("two"))
+    left = settle(edges.select("node", "head").join(one, "node").join(two, "head").where("one <> two").select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct(), "edges")
+    both = left.select(F.col("one").alias("node"), F.col("two").alias("next")).union(left.select("two", "one"))
     label = settle(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("root")), "roots")
     for _ in range(rounds):
         near = both.join(label.select(F.col("node").alias("next"), "root"), "next").groupBy("node").agg(F.min("root").alias("least"))
@@ -367,18 +501,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         up = jumped.select(F.col("node").alias("root"), F.col("root").alias("above"))
         label = settle(jumped.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")), "roots")
         if not label.where("root <> old").head(1):
-            return label.select("node", "root")
+            roots = label.select(F.col("node").alias("first"), "root")
+            return first.join(roots, "first", "left").select("node", F.coalesce("root", "first").alias("root"))
         label = label.select("node", "root")
     raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
 def clusters(edges: DataFrame) -> DataFrame:
-    """``cluster``, ``node``, ``unlike``: each head with the nodes around it, and each connected component, no row twice.
+    """``cluster``, ``node``, ``unlike``: each head with the nodes of its star, and each connected component, no row twice.
 
     A star's number is its head's, a component's that of its least node, bit by bit inverted.
     """
     unlike = edges.groupBy("node").agg(F.max("unlike").alias("unlike"))
-    stars = edges.select(F.col("head").alias("cluster"), "node", "unlike").union(edges.select("head", "head", F.lit(False)).distinct())
+    around = edges.where("star")
+    stars = around.select(F.col("head").alias("cluster"), "node", "unlike").union(around.select("head", "head", F.lit(False)).distinct())
     joined = components(edges).join(unlike, "node", "left").select(F.bitwise_not("root").alias("cluster"), "node", F.coalesce("unlike", F.lit(False)))
     return stars.union(joined).groupBy("cluster", "node").agg(F.max("unlike").alias("unlike"))
 
@@ -414,7 +550,7 @@ def _meant(table: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _copies(table: DataFrame, nodes: DataFrame) -> DataFrame:
     """``near_node`` of unmasked clusters over several repositories of which enough members come from elsewhere."""
-    edges = links(nodes, nodes.where("vendored > 0").select("node"))
+    edges = links(nodes.withColumn("wanted", F.col("vendored") > 0), wanted=True)
     around = edges.select(F.col("head").alias("cluster"), "node").union(nodes.where("vendored > 0").select("node", "node")).distinct()
     lying = around.join(table.select(F.col("near_node").alias("node"), "repo", "vendored"), "node")
     by = lying.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if("vendored").alias("k"), F.approx_count_distinct("repo").alias("repos"))
@@ -432,10 +568,10 @@ def kinds(documents: DataFrame) -> DataFrame:
     named = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("text"), F.col("repo").alias("repo"), F.col("path").alias("path")).where("id is not null and length(text) > 0")
     table = settle(named.mapInPandas(_features, _SCHEMA), "features")
     number = lambda c: F.count_if(c).alias(c)
-    masked = table.where("node is not null").groupBy("node").agg(F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("near_sig").alias("other"), F.min("near_sketch").alias("first"), F.count(F.lit(1)).alias("docs"), number("generated"), number("minified"), number("data"))
+    masked = table.where("node is not null").groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("near_sig").alias("other"), F.min("near_sketch").alias("first"), F.count(F.lit(1)).alias("docs"), number("generated"), number("minified"), number("data"))
     family = _meant(table, settle(masked, "nodes"))
-    plain = table.where("node is not null").select(F.col("near_node").alias("node"), F.col("near_sketch").alias("sketch"), F.col("near_bands").alias("bands"), F.col("near_sig").alias("sig"), F.col("near_sig").alias("other"), "vendored")
-    copies = _copies(table, plain.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("sketch", "bands", "sig", "other")], number("vendored")))
+    plain = table.where("node is not null").select(F.col("near_node").alias("node"), F.col("near_bands").alias("bands"), F.col("near_sig").alias("sig"), F.col("near_sig").alias("other"), "vendored")
+    copies = _copies(table, plain.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("bands", "sig", "other")], number("vendored")))
     own = table.select("id", F.explode(F.array(*[F.when(F.col(k), F.lit(k)) for k in ("generated", "vendored", "minified", "data")])).alias("kind")).where("kind is not null")
     by_family = table.select("id", "node").join(family, "node").select("id", "kind")
     by_copy = table.select("id", "near_node").join(copies, "near_node").select("id", F.lit("vendored_copy").alias("kind"))
