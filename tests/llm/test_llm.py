@@ -546,6 +546,11 @@ def test_all_pairs_of_a_bucket_are_joined(spark, monkeypatch, part):
 @pytest.mark.parametrize("matrix", [256, 10])
 def test_stars_of_a_bucket_are_whole(monkeypatch, matrix):
     import pandas as pd
+    import pyarrow as pa
+
+    def linked(frames):
+        kinds = pa.schema([*[(c, pa.int64()) for c in ("node", "key", "low", "high")], ("sig", pa.binary()), ("other", pa.binary()), ("wanted", pa.bool_())])
+        return pa.Table.from_batches(handwritten._linked(pa.RecordBatch.from_pandas(x, kinds, preserve_index=False) for x in frames)).to_pandas()
 
     monkeypatch.setattr(handwritten, "MATRIX", matrix)
     sigs = bucket(2)
@@ -553,12 +558,12 @@ def test_stars_of_a_bucket_are_whole(monkeypatch, matrix):
     beside = {k: {a + b - k for a, b in pairs if k in (a, b)} for k in range(len(sigs))}
     frame = pd.DataFrame({"node": range(len(sigs)), "key": 7, "low": 0, "high": 0, "sig": sigs, "other": sigs, "wanted": None})
     frames = [frame.iloc[:30], frame.iloc[30:30], frame.iloc[30:], frame.iloc[:5].assign(key=8)]
-    got = pd.concat(handwritten._linked(iter(frames)))
+    got = linked(frames)
     for head, star in got[got["star"]].groupby("head")["node"]:
         assert set(star) == beside[head]
     assert joined(list(zip(got["node"], got["head"], strict=True))) == joined(pairs)
     marked = frame.assign(wanted=[k % 3 == 0 for k in range(len(sigs))])
-    got = pd.concat(handwritten._linked(iter([marked])))
+    got = linked([marked])
     assert set(got["head"]) <= set(range(0, len(sigs), 3)) and got["star"].all()
     for head, star in got.groupby("head")["node"]:
         assert set(star) == beside[head]

@@ -32,6 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,8 +163,6 @@ class Masks:
 
     @staticmethod
     def _number(token: str) -> int:
-        import xxhash
-
         c = token[0]
         name = keyword = short = sign = 0
         if token[-1] in "\"'`" and len(token) > 1:
@@ -413,38 +413,51 @@ def _linked_many(signed: _Signed, wanted: np.ndarray | None) -> Iterator[tuple[i
                 yield y, x, False
 
 
-def _linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _places(column: pa.Array) -> np.ndarray:
+    """Signatures as rows of bytes, where they lie."""
+    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * PLACES, column.offset * PLACES).reshape(-1, PLACES)
+
+
+_LINK = pa.schema([("node", pa.int64()), ("head", pa.int64()), ("unlike", pa.bool_()), ("star", pa.bool_())])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within the buckets, whose rows follow each other by ``node``. ``unlike``: their unmasked signatures don't agree."""
 
-    def whole(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        ends = (rows[["key", "low", "high"]].to_numpy()[1:] != rows[["key", "low", "high"]].to_numpy()[:-1]).any(axis=1)
-        group = np.concatenate([[0], np.cumsum(ends)])
+    def bucket(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return np.stack([rows[c].to_numpy(zero_copy_only=False) if isinstance(rows[c], pa.Array) else rows[c].to_numpy() for c in ("key", "low", "high")])
+
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts)
+        keys = bucket(rows)
+        group = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
         sizes = np.bincount(group)
-        signed = _Signed(np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, PLACES))
-        wanted = rows["wanted"].to_numpy(bool) if rows["wanted"].notna().all() else None
+        sigs, other = (np.concatenate([_places(x[c]) for x in parts]) for c in ("sig", "other"))
+        wanted = rows["wanted"].to_numpy().astype(bool) if not rows["wanted"].null_count else None
         few = (sizes[group] <= MATRIX).nonzero()[0]
-        out = [(int(few[y]), int(few[x]), s) for y, x, s in _linked_few(_Signed(signed.sigs[few]), group[few], None if wanted is None else wanted[few])]
+        out = [(int(few[y]), int(few[x]), s) for y, x, s in _linked_few(_Signed(sigs[few]), group[few], None if wanted is None else wanted[few])]
         for k in (sizes > MATRIX).nonzero()[0]:
             at = (group == k).nonzero()[0]
-            out += [(int(at[y]), int(at[x]), s) for y, x, s in _linked_many(_Signed(signed.sigs[at]), None if wanted is None else wanted[at])]
+            out += [(int(at[y]), int(at[x]), s) for y, x, s in _linked_many(_Signed(sigs[at]), None if wanted is None else wanted[at])]
         if out:
             one, two, star = (np.array(c) for c in zip(*out, strict=True))
-            other = np.frombuffer(b"".join(rows["other"]), np.uint8).reshape(-1, PLACES)
             node = rows["node"].to_numpy()
-            yield pd.DataFrame({"node": node[one], "head": node[two], "unlike": (other[one] == other[two]).mean(axis=1) < UNLIKE, "star": star}).drop_duplicates()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[one], node[two], (other[one] == other[two]).mean(axis=1) < UNLIKE, star)], schema=_LINK)
 
-    kept: list[pd.DataFrame] = []
-    for frame in frames:
-        if not len(frame):
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
             continue
-        last = frame[["key", "low", "high"]].iloc[-1]
-        begun = int((frame[["key", "low", "high"]] != last).any(axis=1).sum())
-        if begun or kept and (kept[-1][["key", "low", "high"]].iloc[-1] != last).any():
-            yield from whole(pd.concat([*kept, frame.iloc[:begun]]))
+        keys = bucket(batch)
+        begun = int((keys != keys[:, -1:]).any(axis=0).sum())
+        if kept and (begun or (bucket(kept[-1])[:, -1] != keys[:, -1]).any()):
+            yield from whole([*kept, batch.slice(0, begun)] if begun else kept)
             kept = []
-        kept.append(frame.iloc[begun:])
+        elif begun:
+            yield from whole([batch.slice(0, begun)])
+        kept.append(batch.slice(begun))
     if kept:
-        yield from whole(pd.concat(kept))
+        yield from whole(kept)
 
 
 def _sketches_agree(a: Column, b: Column) -> Column:
@@ -475,7 +488,7 @@ def links(nodes: DataFrame, wanted: bool = False) -> DataFrame:
     met = lines.join(buckets, "key").select("node", "key", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other_part"))
     met = met.select("node", "key", F.least("part", "other_part").alias("low"), F.greatest("part", "other_part").alias("high"))
     signed = met.join(nodes.select("node", "sig", "other", (F.col("wanted") if wanted else F.lit(None).cast("boolean")).alias("wanted")), "node")
-    found = signed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInPandas(_linked, "node bigint, head bigint, unlike boolean, star boolean")
+    found = signed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInArrow(_linked, "node bigint, head bigint, unlike boolean, star boolean")
     return settle(found.groupBy("node", "head").agg(F.max("unlike").alias("unlike"), F.max("star").alias("star")), "links")
 
 
