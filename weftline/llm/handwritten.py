@@ -365,7 +365,8 @@ def _linked_few(signed: _Signed, group: np.ndarray, wanted: np.ndarray | None) -
     for x, y in pairs:
         beside.setdefault(x, []).append(y)
         beside.setdefault(y, []).append(x)
-    seen: set[int] = set()
+    # the first head of each row, and which heads are in one component
+    first: dict[int, int] = {}
     above: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -374,15 +375,16 @@ def _linked_few(signed: _Signed, group: np.ndarray, wanted: np.ndarray | None) -
         return x
 
     for x in sorted(beside):
-        if x not in seen if wanted is None else wanted[x] and not seen.issuperset((x, *beside[x])):
-            seen.update((x, *beside[x]))
+        if x not in first if wanted is None else wanted[x] and not all(y in first for y in (x, *beside[x])):
+            first.setdefault(x, x)
             for y in beside[x]:
-                above[top(y)] = top(x)
+                if first.setdefault(y, x) != x:
+                    above[top(first[y])] = top(x)
                 yield y, x, True
     if wanted is None:
         for x, y in pairs:
-            if top(x) != top(y):
-                above[top(y)] = top(x)
+            if first[x] != first[y] and top(first[x]) != top(first[y]):
+                above[top(first[y])] = top(first[x])
                 yield y, x, False
 
 
